@@ -48,15 +48,21 @@ def _chunks(docs: DataFrame, divisor: int) -> DataFrame:
     part = F.slice("_lines", F.col("_c.s") + 1, F.col("_c.e") - F.col("_c.s"))
     rows = rows.where(F.col("_c.e") - F.col("_c.s") >= 2).select("_id", "_t", F.col("_c.s").alias("_start"), F.col("_c.e").alias("_end"), part.alias("_part"))
     worded = F.size(F.filter("_part", lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    return rows.where(worded >= 2).select("_id", "_t", "_start", "_end", F.array_join("_part", "\n").alias("_chunk"))
+    return rows.where(worded >= 2).select("_id", "_t", "_start", "_end", F.xxhash64(F.array_join("_part", "\n")).alias("_key"))
 
 
 def repeated_chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", divisor: int = DIVISOR) -> DataFrame:
     """(_id, _t, _ranges): the line ranges that each document loses; _t is a hash of its text."""
     rows = docs.select(F.col(doc_id).alias("_id"), F.xxhash64(text).alias("_t"), F.col(text).alias("_text"))
-    chunks = _chunks(rows, divisor).withColumn("_key", F.xxhash64("_chunk"))
+    chunks = _chunks(rows, divisor)
     again = written(chunks.groupBy("_key").agg(F.count("*").alias("_n")).where("_n > 1").select("_key"), "line-keys")
-    candidates = written(chunks.join(again, "_key", "left_semi").drop("_key"), "line-chunks")
+    ranges = chunks.join(again, "_key", "left_semi").groupBy("_id", "_t").agg(F.collect_set(F.struct("_start", "_end")).alias("_of"))
+    ranges = ranges.withColumnsRenamed({"_id": "_with_id", "_t": "_with_t"})
+    # texts meet the few ranges by a merge join at every size: they are the large side, and grow with the corpus
+    match = F.col("_with_id").eqNullSafe(F.col("_id")) & (F.col("_with_t") == F.col("_t"))
+    candidates = rows.join(ranges.hint("merge"), match).select("_id", "_t", "_text", F.explode("_of").alias("_c"))
+    part = F.slice(F.split("_text", "\n", -1), F.col("_c._start") + 1, F.col("_c._end") - F.col("_c._start"))
+    candidates = written(candidates.select("_id", "_t", "_c.*", F.array_join(part, "\n").alias("_chunk")), "line-chunks")
     place = F.struct("_id", "_start")
     first = candidates.groupBy("_chunk").agg(F.min(place).alias("_first"), F.max(place).alias("_last")).where("_first != _last")
     first = written(first.drop("_last"), "line-firsts")
@@ -68,7 +74,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", div
     """``docs`` with ``text`` rid of repeated chunks, and ``_n_lines``, ``_n_removed``."""
     lost = repeated_chunks(docs, doc_id, text, divisor).select(F.col("_id").alias("_lost_id"), F.col("_t").alias("_lost_t"), "_ranges")
     match = F.col("_lost_id").eqNullSafe(docs[doc_id]) & (F.col("_lost_t") == F.xxhash64(docs[text]))
-    rows = docs.join(lost, match, "left").withColumn("_lines", F.split(docs[text], "\n", -1))
+    rows = docs.join(lost.hint("merge"), match, "left").withColumn("_lines", F.split(docs[text], "\n", -1))
     kept = F.filter("_lines", lambda x, i: ~F.exists("_ranges", lambda r: (i >= r["_start"]) & (i < r["_end"])))
     rows = rows.withColumn("_kept", F.when(F.col("_ranges").isNull(), F.col("_lines")).otherwise(kept))
     n = F.coalesce(F.size("_lines"), F.lit(0))
