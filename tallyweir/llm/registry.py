@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from tallyweir.llm import fmindex, htmltext, linechunks, mixing
+from tallyweir.llm import countmin, fmindex, htmltext, linechunks, mixing, setjoin
 
 QUERIES = {
     "op2_pareto_mix": mixing.op2_pareto_mix,
     "op3_line_chunks": linechunks.op3_line_chunks,
+    "op5_countmin_substrings": countmin.op5_countmin_substrings,
     "op7_fm_decontamination": fmindex.op7_fm_decontamination,
+    "op9_jaccard_join": setjoin.op9_jaccard_join,
     "op10_html_text": htmltext.op10_html_text,
 }
 
