@@ -3,27 +3,26 @@
 A window is ``window`` consecutive words of one document.  Words covered by a
 window that also starts in a document with a smaller id are removed.
 
-Pass 1 fills a count-min sketch.  Every window stands for its least-hashed run
-of ``GRAM`` words; equal windows have equal least runs, so that counting those
-runs once per place overestimates the count of every window and loses none,
-with a fourteenth of the entries.  Each task sends its part of the sketch as
-sorted cell numbers with counts; parts are summed cell block by cell block, and
-cells that reach two become a bitmap.  Pass 2 looks up every window and groups
-exactly, by a 128-bit hash of its words, only those estimated repeated.  Pass 3
-marks the covered words of each document.
-
-The bitmap is sized to the corpus up to ``MAX_BITS`` (256 MB), which is what a
-worker holds; beyond, more windows pass the filter and the result is the same.
+Pass 1 fills a count-min sketch (see ``sketch``).  Every window stands for its
+least-hashed run of ``GRAM`` words; equal windows have equal least runs, so that
+counting those runs overestimates the count of every window and loses none, with
+a fifth of the entries.  Pass 2 looks up every window; those estimated repeated
+are grouped exactly, the others never leave their task.
+
+Neighbouring suspect windows travel together: runs of them are cut where a
+window's hash says so, which makes equal passages fall into equal segments, and
+a segment is one row with a 128-bit hash of its own.  Of equal segments only the
+one in the smallest document hands its windows (64-bit hashes) to the grouping;
+every other holder of the segment loses all its windows at once.
 
 Null and empty texts have no words.  A row with a null id loses nothing and
-takes nothing from others.  Rows of equal id are one document for the order: they
-take nothing from each other.  An empty table gives an empty result.
+takes nothing from others.  Rows of equal id take nothing from each other.  An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,150 +31,123 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyweir.llm.common import table, written
+from tallyweir.llm.sketch import Bitmap, sketch
 from tallyweir.llm.wordhash import WordHasher, pieces, run_documents, run_hashes, second_run_hashes, sliding_min, table_map
 
-WINDOW, GRAM, DEPTH = 50, 25, 2
-#: Sketch cells per expected entry, per row; cells of a block; most bits of the bitmap.
-CELLS_PER_ENTRY, BLOCK, MAX_BITS = 4, 1 << 20, 1 << 31
+WINDOW, GRAM = 50, 42
+#: A segment of suspect windows ends at every window whose hash is a multiple of this, on average.
+SEGMENT = 32
 
 
 def _least(h: np.ndarray, ends: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(places, documents, hash of the least run) of all windows."""
     places, doc = run_documents(ends, window)
-    gram = min(GRAM, window)
+    gram = max(1, window * GRAM // WINDOW)
     if not len(places):
         return places, doc, np.zeros(0, dtype=np.uint64)
     return places, doc, sliding_min(run_hashes(h, gram), window - gram + 1)[places]
 
 
-def _cells(hashes: np.ndarray, bits: int) -> Iterator[np.ndarray]:
-    """Cells of the sketch's rows, one row after the other."""
-    width = np.uint64((1 << bits) // DEPTH)
-    for row in range(DEPTH):
-        yield ((hashes >> np.uint64(31 * row)) ^ (hashes << np.uint64(7 * row))) % width + width * np.uint64(row)
-
-
-def _sketch_parts(window: int, bits: int):
+def _entries(window: int):
     def run(batches):
-        hasher, held, size = WordHasher(), [], 0
-
-        def part():
-            cells, counts = np.unique(np.concatenate(held), return_counts=True)
-            block = (cells // BLOCK).astype(np.int32)
-            edges = np.flatnonzero(np.diff(block, prepend=-1, append=-1))
-            at = (cells % BLOCK).astype(np.int32)
-            twice = counts > 1
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
-                yield {"block": pa.array([block[a]], pa.int32()), "once": pa.array([np.diff(at[a:b], prepend=0).astype(np.int32).tobytes()]), "twice": pa.array([np.packbits(twice[a:b]).tobytes()])}
-
+        hasher = WordHasher()
         for _, h, ends in pieces(batches, hasher):
-            places, doc, least = _least(h, ends, window)
-            if len(least):  # neighbouring windows share a least run: it counts once for each place it has
-                new = np.concatenate(([True], (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])))
-                held += list(_cells(least[new], bits))
-                size += DEPTH * int(new.sum())
-            if size > 4_000_000:
-                yield from part()
-                held, size = [], 0
-        if size:
-            yield from part()
-
-    return table_map(run)
-
-
-def _merge_parts(key: tuple[pa.Scalar, ...], groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    count = np.zeros(BLOCK, dtype=np.uint8)
-    for batch in groups:
-        for once, twice in zip(batch.column("once"), batch.column("twice"), strict=True):
-            at = np.cumsum(np.frombuffer(once.as_py(), dtype=np.int32))
-            add = 1 + np.unpackbits(np.frombuffer(twice.as_py(), dtype=np.uint8), count=len(at))
-            count[at] = np.minimum(count[at] + add, 2)
-    yield pa.RecordBatch.from_pydict({"block": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(count > 1).tobytes()])})
+            _, doc, least = _least(h, ends, window)
+            if len(least):  # neighbours that share a least run count once
+                yield least[np.concatenate(([True], (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])))]
 
+    return run
 
-def sketch_of_repeats(rows: DataFrame, window: int, bits: int) -> dict[int, bytes]:
-    """Bitmap blocks of the cells that windows of ``_text`` reach twice or more."""
-    parts = rows.select("_text").mapInArrow(_sketch_parts(window, bits), "block int, once binary, twice binary")
-    merged = parts.groupBy("block").applyInArrow(_merge_parts, "block int, bits binary")
-    # at most MAX_BITS / 8 bytes whatever the input
-    return {row["block"]: bytes(row["bits"]) for row in written(merged, "sketch").toLocalIterator()}
 
-
-def sketch_bits(rows: DataFrame, window: int) -> int:
-    """log2 of the sketch's cells, for the number of words the texts can hold at most."""
-    n = rows.agg(F.sum(F.length("_text"))).first()[0] or 0
-    entries = n / 6 * 2 / (window - min(GRAM, window) + 2)
-    return int(np.clip(np.ceil(np.log2(max(entries, 1) * CELLS_PER_ENTRY * DEPTH)), 16, np.log2(MAX_BITS)))
-
-
-def _suspects(window: int, bits: int, bitmap):
+def _segments(window: int, bitmap: Bitmap):
     def run(batches):
         hasher = WordHasher()
-        flat = np.zeros((1 << bits) // 8 if bits > 20 else BLOCK // 8, dtype=np.uint8)
-        for block, data in bitmap.value.items():
-            flat[block * (BLOCK // 8) : (block + 1) * (BLOCK // 8)] = np.frombuffer(data, dtype=np.uint8)[: len(flat)]
         for batch, h, ends in pieces(batches, hasher):
             places, doc, least = _least(h, ends, window)
-            if not len(least):
-                continue
-            hit = np.ones(len(least), dtype=bool)
-            for cells in _cells(least, bits):
-                hit &= (flat[cells >> np.uint64(3)] >> (np.uint64(7) - (cells & np.uint64(7))).astype(np.uint8)) & 1 > 0
-            k = np.flatnonzero(hit)
+            k = np.flatnonzero(bitmap.hits(least)) if len(least) else []
             if not len(k):
                 continue
-            a, b, d = run_hashes(h, window)[places[k]].view(np.int64), second_run_hashes(h, window)[places[k]].view(np.int64), doc[k]
-            order = np.lexsort((b, a, d))  # a window that a document repeats is sent once
-            a, b, d = a[order], b[order], d[order]
-            new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (d[1:] != d[:-1])))
-            ids = batch.column("_id").take(pa.array(d[new]))
-            for s in range(0, len(ids), 100_000):
-                e = slice(s, s + 100_000)
-                yield {"_a": pa.array(a[new][e]), "_b": pa.array(b[new][e]), "_id": ids[e]}
+            a, b = run_hashes(h, window)[places[k]], second_run_hashes(h, window)[places[k]]
+            cut = np.ones(len(k), dtype=bool)
+            cut[1:] = (np.diff(k) != 1) | (doc[k][1:] != doc[k][:-1]) | (a[:-1] % np.uint64(SEGMENT) == 0)
+            first = np.flatnonzero(cut)
+            length = np.diff(np.append(first, len(k)))
+            with np.errstate(over="ignore"):  # sums over the windows' hashes, each mixed with its place in the segment
+                turn = (np.arange(len(k)) - np.repeat(first, length)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                sa = np.add.reduceat((a ^ turn) * np.uint64(0xBF58476D1CE4E5B9), first)
+                sb = np.add.reduceat((b + turn) * np.uint64(0x94D049BB133111EB), first)
+            home = doc[k][first]
+            ids, hashes = batch.column("_id"), batch.column("_t")
+            windows = a.view(np.int64)
+            for s in range(0, len(first), 50_000):
+                e = slice(s, s + 50_000)
+                edge = np.append(first[e], first[e][-1] + length[e][-1])
+                yield {
+                    "_id": ids.take(pa.array(home[e])),
+                    "_t": hashes.take(pa.array(home[e])),
+                    "_a": pa.array(sa[e].view(np.int64)),
+                    "_b": pa.array(sb[e].view(np.int64)),
+                    "_at": pa.array((places[k][first[e]] - ends[home[e]]).astype(np.int32)),
+                    "_w": pa.ListArray.from_arrays(pa.array((edge - edge[0]).astype(np.int32)), pa.array(windows[edge[0] : edge[-1]])),
+                }
 
     return table_map(run)
 
 
 def _marker(window: int):
     def run(batches):
-        hasher = WordHasher()
         for batch in batches:
             texts, lost = batch.column("_text"), batch.column("_lost")
             n, gone, kept = [], [], []
             for k in range(len(texts)):
-                words = hasher.split(texts[k].as_py())
-                keep = np.ones(len(words), dtype=bool)
-                if lost[k].is_valid and len(words) >= window:
-                    a = run_hashes(hasher.hashes(words), window).view(np.int64)
-                    starts = np.flatnonzero(np.isin(a, lost[k].values.to_numpy(zero_copy_only=False)))
-                    if len(starts):
-                        edge = np.zeros(len(words) + 1, dtype=np.int64)
-                        np.add.at(edge, starts, 1)
-                        np.add.at(edge, starts + window, -1)
-                        keep = np.cumsum(edge[:-1]) == 0
+                words = (texts[k].as_py() or "").encode("utf-8", "surrogatepass").split()
                 n.append(len(words))
+                if not lost[k].is_valid:
+                    gone.append(0)
+                    kept.append(b" ".join(words).decode("utf-8", "surrogatepass"))
+                    continue
+                spans = lost[k].values
+                edge = np.zeros(len(words) + 1, dtype=np.int64)
+                np.add.at(edge, spans.field("at").to_numpy(), 1)
+                np.add.at(edge, spans.field("at").to_numpy() + spans.field("n").to_numpy() + window - 1, -1)
+                keep = np.cumsum(edge[:-1]) == 0
                 gone.append(int(len(words) - keep.sum()))
-                kept.append(b" ".join(w for w, x in zip(words, keep.tolist(), strict=True) if x) if gone[-1] else b" ".join(words))
-            yield {"_id": batch.column("_id"), "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "kept": pa.array([x.decode("utf-8", "surrogatepass") for x in kept], pa.string())}
+                kept.append(b" ".join(w for w, x in zip(words, keep.tolist(), strict=True) if x).decode("utf-8", "surrogatepass"))
+            yield {"_id": batch.column("_id"), "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "kept": pa.array(kept, pa.string())}
 
     return table_map(run)
 
 
+def lost_spans(rows: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(_id, _t, _lost): first window and number of windows of each lost run; rows has _id, _t, _text."""
+    kind = rows.schema["_id"].dataType
+    characters = rows.agg(F.sum(F.length("_text"))).first()[0] or 0
+    gram = max(1, window * GRAM // WINDOW)
+    bitmap = sketch(rows.select("_text"), _entries(window), characters / 6 * 2 / (window - gram + 2))
+    long, int_ = T.LongType(), T.IntegerType()
+    schema = T.StructType([T.StructField("_id", kind), *(T.StructField(c, long) for c in ("_t", "_a", "_b")), T.StructField("_at", int_), T.StructField("_w", T.ArrayType(long))])
+    held = written(rows.where("_id is not null").mapInArrow(_segments(window, bitmap), schema), "segments")
+    owners = written(held.groupBy("_a", "_b").agg(F.min("_id").alias("_first")), "segment-owners")
+    # merge joins at every size: held segments grow with the corpus, and a hot segment can be split
+    met = held.join(owners.hint("merge"), ["_a", "_b"])
+    span = F.struct(F.col("_at").alias("at"), F.size("_w").alias("n"))
+    met = written(met.select("_id", "_t", span.alias("_span"), F.when(F.col("_id") == F.col("_first"), F.col("_w")).alias("_w")), "met-segments")
+    own = met.where("_w is not null").select("_id", "_t", F.col("_span.at").alias("_from"), F.posexplode("_w").alias("_k", "_x"))
+    least = own.groupBy("_x").agg(F.min("_id").alias("_least"), F.max("_id").alias("_most")).where("_least < _most").drop("_most")
+    least = written(least, "window-owners")
+    late = own.join(least.hint("merge"), "_x").where("_id > _least")
+    late = late.select("_id", "_t", F.struct((F.col("_from") + F.col("_k")).cast("int").alias("at"), F.lit(1).alias("n")).alias("_span"))
+    lost = met.where("_w is null").select("_id", "_t", "_span").unionByName(late)
+    return lost.groupBy("_id", "_t").agg(F.collect_list("_span").alias("_lost"))
+
+
 def remove_repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """(``doc_id``, n_words, n_removed, kept): kept words joined by one space, for each row."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
-    bits = sketch_bits(rows, window)
-    bitmap = spark.sparkContext.broadcast(sketch_of_repeats(rows, window, bits))
-    kind = rows.schema["_id"].dataType
-    schema = T.StructType([T.StructField("_a", T.LongType()), T.StructField("_b", T.LongType()), T.StructField("_id", kind)])
-    suspects = written(rows.where("_id is not null").mapInArrow(_suspects(window, bits, bitmap), schema), "windows")
-    firsts = suspects.groupBy("_a", "_b").agg(F.min("_id").alias("_first"), F.max("_id").alias("_last"))
-    firsts = written(firsts.where("_first < _last").drop("_last"), "window-firsts")
-    lost = suspects.join(firsts.hint("merge"), ["_a", "_b"]).where("_id > _first")
-    lost = lost.groupBy(F.col("_id").alias("_with")).agg(F.collect_list("_a").alias("_lost"))
-    marked = rows.join(lost.hint("merge"), F.col("_id") == F.col("_with"), "left").select("_id", "_text", "_lost")
-    out = T.StructType([T.StructField("_id", kind), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
+    rows = docs.select(F.col(doc_id).alias("_id"), F.xxhash64(text).alias("_t"), F.col(text).alias("_text"))
+    lost = lost_spans(rows, window).withColumnsRenamed({"_id": "_with", "_t": "_with_t"})
+    match = (F.col("_id") == F.col("_with")) & (F.col("_t") == F.col("_with_t"))
+    marked = rows.join(lost.hint("merge"), match, "left").select("_id", "_text", "_lost")
+    out = T.StructType([T.StructField("_id", rows.schema["_id"].dataType), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
     return marked.mapInArrow(_marker(window), out).withColumnRenamed("_id", doc_id)
 
 
