@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyweir.llm.common import table, written
+from tallyweir.llm.sketch import Bitmap, sketch
 from tallyweir.llm.wordhash import WordHasher, pieces, run_documents, run_hashes, table_map
 
 SHINGLE, PERCENT = 4, 85
@@ -124,10 +125,41 @@ def _profiles(k: int, percent: int, frequent):
     return table_map(run)
 
 
-def _full_sets(k: int):
+def _short_entries(batches):
+    for batch in batches:
+        yield batch.column("_short").flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+
+
+def _short_repeated(bitmap: Bitmap):
+    """Leaves in ``_short`` the shingles that another document may have there too."""
+
+    def run(batches):
+        for batch in batches:
+            short = batch.column("_short")
+            flat = short.flatten().to_numpy(zero_copy_only=False)
+            hit = bitmap.hits(flat.view(np.uint64))
+            doc = np.repeat(np.arange(len(short)), np.diff(short.offsets.to_numpy()))
+            pos = np.concatenate(([0], np.cumsum(np.bincount(doc[hit], minlength=len(short))))).astype(np.int32)
+            yield {"_id": batch.column("_id"), "_n": batch.column("_n"), "_short": pa.ListArray.from_arrays(pa.array(pos), pa.array(flat[hit]))}
+
+    return table_map(run)
+
+
+def _id_entries(batches):
+    for batch in batches:
+        yield batch.column("_key").to_numpy(zero_copy_only=False).view(np.uint64)
+
+
+def _full_sets(k: int, wanted: Bitmap):
+    def chosen(batches):
+        for batch in batches:
+            hit = wanted.hits(batch.column("_key").to_numpy(zero_copy_only=False).view(np.uint64))
+            if hit.any():
+                yield batch.filter(pa.array(hit))
+
     def run(batches):
         hasher = WordHasher(lower=True)
-        for batch, h, ends in pieces(batches, hasher):
+        for batch, h, ends in pieces(chosen(batches), hasher):
             doc, s = _sets(h, ends, k)
             pos = np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=len(ends) - 1)))).astype(np.int32)
             yield {"_id": batch.column("_id"), "_set": pa.ListArray.from_arrays(pa.array(pos), pa.array(s.view(np.int64)))}
@@ -135,6 +167,14 @@ def _full_sets(k: int):
     return table_map(run)
 
 
+def _sets_of(rows: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+    """(_id, _set) of the documents in ``pairs`` (and a few more, by a bitmap of ids): texts are not shuffled."""
+    ids = written(pairs.select(F.explode(F.array("_x", "_y")).alias("_id")).distinct().select(F.xxhash64("_id").alias("_key")), "wanted")
+    wanted = sketch(ids, _id_entries, ids.count(), least=1)
+    schema = T.StructType([rows.schema["_id"], T.StructField("_set", T.ArrayType(T.LongType()))])
+    return written(rows.where("_id is not null").withColumn("_key", F.xxhash64("_id")).mapInArrow(_full_sets(k, wanted), schema), "sets")
+
+
 def _may_link(a: str, b: str, percent: int) -> Column:
     """Sizes and signatures allow a link of the rows with prefixes a and b."""
     n, m = F.col(f"{a}n"), F.col(f"{b}n")
@@ -143,8 +183,10 @@ def _may_link(a: str, b: str, percent: int) -> Column:
     return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (apart <= n + m - 2 * least_overlap)
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _linked(pairs: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFrame:
     """The (_x, _y) of ``pairs`` that link, by probing the smaller set in the larger."""
+    pairs = written(pairs, "pairs")
+    sets = _sets_of(rows, pairs, k)
 
     @F.pandas_udf("boolean")
     def probe(a, b):
@@ -195,23 +237,26 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     same = written(named.groupBy("_digest", "_n").agg(F.min("_id").alias("_rep")), "equal-sets")
     # one member of each class of equal sets stands for it
     members = written(named.select("_id", "_digest", "_n").join(same.hint("merge"), ["_digest", "_n"]).select("_id", "_rep").distinct(), "members")
-    reps = named.join(members.where("_id = _rep").select(F.col("_id").alias("_rep")).distinct().hint("merge"), F.col("_id") == F.col("_rep"), "left_semi")
-    postings = written(reps.select(F.explode("_short").alias("_s"), F.col("_id").alias("_d"), F.col("_n").alias("_dn")).distinct(), "postings")
+    reps = members.where("_id = _rep").select(F.col("_id").alias("_d")).distinct()
+    # of the short lists only those that a sketch of all of them says have two members
+    repeated = sketch(profiles.select("_short"), _short_entries, profiles.agg(F.sum(F.size("_short"))).first()[0] or 0)
+    lists = T.StructType([T.StructField("_id", kind), T.StructField("_n", T.LongType()), T.StructField("_short", longs)])
+    postings = named.select("_id", "_n", "_short").mapInArrow(_short_repeated(repeated), lists)
+    postings = postings.select(F.explode("_short").alias("_s"), F.col("_id").alias("_d"), F.col("_n").alias("_dn"))
+    postings = written(postings.join(reps.hint("merge"), "_d", "left_semi"), "postings")
     hubs = postings.groupBy("_s").agg(F.count("*").alias("_k"), F.min(F.struct("_dn", "_d")).alias("_h1"), F.min(F.struct(F.xxhash64("_d").alias("_hash"), "_d")).alias("_h2"))
     hubs = written(hubs.where("_k > 1").select("_s", F.col("_h1._d").alias("_h1"), F.col("_h2._d").alias("_h2")), "hubs")
-    signatures = named.groupBy(F.col("_id")).agg(F.max("_n").alias("_n"), F.max("_sig").alias("_sig"))
     shared = written(postings.join(hubs.hint("merge"), "_s").select("_s", "_d", "_h1", "_h2"), "shared-lists")
     proposed = shared.select(F.col("_d").alias("_y"), F.explode(F.array("_h1", "_h2")).alias("_x")).where("_x <> _y").select(F.least("_x", "_y").alias("_x"), F.greatest("_x", "_y").alias("_y")).distinct()
-    involved = written(shared.select(F.col("_d").alias("_id")).distinct(), "involved")
-    signatures = written(signatures.join(involved.hint("merge"), "_id", "left_semi"), "signatures")
-    sets = rows.join(involved.hint("merge"), "_id", "left_semi").mapInArrow(_full_sets(shingle), T.StructType([T.StructField("_id", kind), T.StructField("_set", longs)]))
-    sets = written(sets, "sets")
+    involved = shared.select(F.col("_d").alias("_id")).distinct()
+    signatures = named.select("_id", "_n", "_sig").join(involved.hint("merge"), "_id", "left_semi")
+    signatures = written(signatures.dropDuplicates(["_id", "_n"]), "signatures")
 
     def side(name: str) -> DataFrame:
         return signatures.select(F.col("_id").alias(f"_{name}"), F.col("_n").alias(f"_{name}n"), F.col("_sig").alias(f"_{name}sig"))
 
-    proposed = proposed.join(side("x"), "_x").join(side("y"), "_y").where(_may_link("_x", "_y", percent)).select("_x", "_y")
-    links = written(_linked(proposed, sets, percent), "links")
+    proposed = proposed.join(side("x"), "_x").join(side("y"), "_y").where(_may_link("_x", "_y", percent)).select("_x", "_y").distinct()
+    links = written(_linked(proposed, rows, shingle, percent), "links")
     labels = connected(links)
 
     # members of one list in different components: those outside its largest component against all
@@ -225,7 +270,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     across = (F.col("_xl") != F.col("_yl")) & ((F.col("_yl") == F.col("_main")) | (F.col("_x") < F.col("_y")))
     pairs = x.hint("merge").join(y, "_s").where(across & _may_link("_x", "_y", percent))
     pairs = pairs.select(F.least("_x", "_y").alias("_x"), F.greatest("_x", "_y").alias("_y")).distinct()
-    more = written(_linked(pairs, sets, percent), "links")
+    more = written(_linked(pairs, rows, shingle, percent), "links")
 
     if more.limit(1).count():  # components are joined by further links
         labels = connected(links.unionByName(more))
