@@ -12,8 +12,8 @@ shingles that are frequent (at most 2**20 of them, by counts that every task
 gathers) come last by count, all others by hash.
 
 Merging a list of k documents emits no k*k pairs.  Sets that are equal are one
-set from the start.  Each list first proposes two hubs, to which all its members
-are compared; links found make components, and afterwards only pairs of members
+set from the start.  Each list first proposes two hubs, and every document is compared
+to two of those its lists propose; links found make components, and afterwards only pairs of members
 in different components remain to be compared: members outside a list's largest
 component against the rest.  A pair inside one component cannot change the
 result.  512-bit parity signatures, whose distance never exceeds the true set
@@ -53,11 +53,15 @@ def _sets(h: np.ndarray, ends: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarr
     places, doc = run_documents(ends, k)
     shingles = run_hashes(h, k)[places] if len(places) else np.zeros(0, dtype=np.uint64)
     lengths = np.diff(ends)
-    for d in np.flatnonzero((lengths > 0) & (lengths < k)):  # the whole sequence is the shingle; marked with its length
-        x = run_hashes(h[ends[d] : ends[d + 1]], int(lengths[d])) ^ np.uint64(lengths[d] * 0x9E3779B1)
-        shingles, doc = np.concatenate((shingles, x)), np.concatenate((doc, [d]))
-    order = np.lexsort((shingles, doc))
-    shingles, doc = shingles[order], doc[order]
+    short = np.flatnonzero((lengths > 0) & (lengths < k))  # the whole sequence is the shingle; marked with its length
+    if len(short):
+        x = [run_hashes(h[ends[d] : ends[d + 1]], int(lengths[d]))[0] ^ np.uint64(lengths[d] * 0x9E3779B1) for d in short]
+        shingles, doc = np.concatenate((shingles, np.array(x, dtype=np.uint64))), np.concatenate((doc, short))
+        order = np.argsort(doc, kind="stable")
+        shingles, doc = shingles[order], doc[order]
+    edges = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1], [True]))).tolist() if len(doc) else []
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        shingles[a:b].sort()
     if len(doc):
         new = np.concatenate(([True], (shingles[1:] != shingles[:-1]) | (doc[1:] != doc[:-1])))
         shingles, doc = shingles[new], doc[new]
@@ -102,7 +106,8 @@ def _profiles(k: int, percent: int, frequent):
             rank = np.where(hot[np.minimum(at, len(hot) - 1)] == s, hot_n[np.minimum(at, len(hot) - 1)], 0) if len(hot) else np.zeros(len(s), dtype=np.int64)
             n = np.bincount(doc, minlength=len(ends) - 1)
             start = np.concatenate(([0], np.cumsum(n)))
-            order = np.lexsort((s, rank, doc))
+            # sorted by hash within each document already; frequent ones move to its end
+            order = np.argsort((doc << 40) + np.minimum(rank, (1 << 40) - 1), kind="stable")
             inside = np.arange(len(s)) - start[doc]
             short = order[inside < short_lists(n, percent)[doc]]
             short_n = np.bincount(doc[short], minlength=len(n))
@@ -247,7 +252,11 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     hubs = postings.groupBy("_s").agg(F.count("*").alias("_k"), F.min(F.struct("_dn", "_d")).alias("_h1"), F.min(F.struct(F.xxhash64("_d").alias("_hash"), "_d")).alias("_h2"))
     hubs = written(hubs.where("_k > 1").select("_s", F.col("_h1._d").alias("_h1"), F.col("_h2._d").alias("_h2")), "hubs")
     shared = written(postings.join(hubs.hint("merge"), "_s").select("_s", "_d", "_h1", "_h2"), "shared-lists")
-    proposed = shared.select(F.col("_d").alias("_y"), F.explode(F.array("_h1", "_h2")).alias("_x")).where("_x <> _y").select(F.least("_x", "_y").alias("_x"), F.greatest("_x", "_y").alias("_y")).distinct()
+    # one hub by size and one by hash for each document, the least of those its lists have
+    other = lambda c: F.when(F.col(c) != F.col("_d"), F.col(c))
+    hub_of = shared.groupBy("_d").agg(F.min(other("_h1")).alias("_h1"), F.min(F.struct(F.xxhash64(other("_h2")).alias("_hash"), other("_h2").alias("_h2")))["_h2"].alias("_h2"))
+    proposed = hub_of.select(F.col("_d").alias("_y"), F.explode(F.array("_h1", "_h2")).alias("_x")).where("_x is not null")
+    proposed = proposed.select(F.least("_x", "_y").alias("_x"), F.greatest("_x", "_y").alias("_y")).distinct()
     involved = shared.select(F.col("_d").alias("_id")).distinct()
     signatures = named.select("_id", "_n", "_sig").join(involved.hint("merge"), "_id", "left_semi")
     signatures = written(signatures.dropDuplicates(["_id", "_n"]), "signatures")

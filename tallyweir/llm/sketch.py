@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 
 from tallyweir.llm.common import written
 
+_ROWS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 DEPTH, CELLS_PER_ENTRY, BLOCK, MAX_BITS = 2, 4, 1 << 20, 1 << 31
 
 
@@ -27,8 +28,9 @@ def bits_for(entries: float) -> int:
 
 def _cells(hashes: np.ndarray, bits: int) -> Iterator[np.ndarray]:
     width = np.uint64((1 << bits) // DEPTH)
-    for row in range(DEPTH):
-        yield ((hashes >> np.uint64(31 * row)) ^ (hashes << np.uint64(7 * row))) % width + width * np.uint64(row)
+    for row, multiplier in enumerate(_ROWS[:DEPTH]):
+        with np.errstate(over="ignore"):
+            yield ((hashes * multiplier) >> np.uint64(24)) % width + width * np.uint64(row)
 
 
 def _parts(entries: Callable, bits: int) -> Callable:
