@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from tallyweir.llm import countmin, fmindex, htmltext, linechunks, mixing, setjoin
+from tallyweir.llm import classifiers, countmin, divergence, fmindex, htmltext, linechunks, mixing, setjoin, warc
 
 QUERIES = {
+    "op1_fm_toxicity": classifiers.op1_fm_toxicity,
     "op2_pareto_mix": mixing.op2_pareto_mix,
     "op3_line_chunks": linechunks.op3_line_chunks,
+    "op4_divergence_rules": divergence.op4_divergence_rules,
     "op5_countmin_substrings": countmin.op5_countmin_substrings,
+    "op6_warc_index": warc.op6_warc_index,
     "op7_fm_decontamination": fmindex.op7_fm_decontamination,
+    "op8_nbsvm_quality": classifiers.op8_nbsvm_quality,
     "op9_jaccard_join": setjoin.op9_jaccard_join,
     "op10_html_text": htmltext.op10_html_text,
 }
@@ -16,4 +20,5 @@ QUERIES = {
 ORACLES = {
     "op2_pareto_mix": mixing.ORACLE,
     "op3_line_chunks": linechunks.ORACLE,
+    "op6_warc_index": warc.ORACLE,
 }
