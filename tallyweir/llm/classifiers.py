@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from tallyweir.llm.common import remainder, table
 
-MAX_ROWS, THRESHOLD = 12_000, 0.7
+MAX_ROWS, THRESHOLD = 6_000, 0.7
 BUCKET_BITS, FACTORS, LEAST_DOCUMENTS, TELLING = 22, 4, 3, 3.0
 
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -72,8 +72,8 @@ def _bucket(term: str) -> int:
     return xxhash.xxh3_64_intdigest(term) >> (64 - BUCKET_BITS)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, learn: Column, terms: Callable, max_rows: int, doc_id: str = "doc_id", text: str = "text") -> tuple[list[np.ndarray], np.ndarray]:
-    """Buckets and label of at most ``max_rows`` labelled documents."""
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, learn: Column, terms: Callable, max_rows: int, doc_id: str = "doc_id", text: str = "text") -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
+    """(buckets of all rows, first of each row and the end) and labels, of at most ``max_rows`` labelled documents."""
     known = labels.select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_y")).where(F.col("_id").isNotNull() & F.col("_y").isNotNull() & learn)
     known = known.groupBy("_id").agg(F.max("_y").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
 
@@ -83,22 +83,27 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, learn: Column,
 
     rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(known), "_id")  # max_rows at most
     rows = rows.select("_id", "_y", features("_text").alias("_x")).groupBy("_id").agg(F.min("_y").alias("_y"), F.min("_x").alias("_x"))
-    got = rows.toPandas().sort_values("_id")
-    return [np.asarray(x, dtype=np.int64) for x in got["_x"]], got["_y"].to_numpy(dtype=np.float64)
+    got = rows.toArrow().sort_by("_id").combine_chunks()
+    x = got.column("_x").combine_chunks()
+    if not len(x):
+        return (np.zeros(0, dtype=np.int32), np.zeros(1, dtype=np.int64)), np.zeros(0)
+    x = x.chunk(0) if hasattr(x, "chunk") else x
+    offsets = x.offsets.to_numpy().astype(np.int64)
+    return (x.flatten().to_numpy(), offsets - offsets[0]), got.column("_y").to_numpy().astype(np.float64)
 
 
-def _frequent(x: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _frequent(x: tuple[np.ndarray, np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(buckets in so many documents, flat positions of them, offsets of the rows)."""
-    flat = np.concatenate(x) if x else np.zeros(0, dtype=np.int64)
-    row = np.repeat(np.arange(len(x)), [len(v) for v in x])
-    buckets, at, n = np.unique(flat, return_inverse=True, return_counts=True)
-    number = np.cumsum(n >= least) - 1
-    kept = n[at] >= least
-    offsets = np.concatenate(([0], np.cumsum(np.bincount(row[kept], minlength=len(x)))))
-    return buckets[n >= least], number[at[kept]], offsets
+    flat, offsets = x
+    buckets, n = np.unique(flat, return_counts=True)
+    buckets = buckets[n >= least]
+    at = np.minimum(np.searchsorted(buckets, flat), max(len(buckets) - 1, 0)).astype(np.int32)
+    kept = buckets[at] == flat if len(buckets) else np.zeros(len(flat), dtype=bool)
+    before = np.concatenate(([0], np.cumsum(kept)))
+    return buckets, at[kept], before[offsets]
 
 
-def _telling(x: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _telling(x: tuple[np.ndarray, np.ndarray], y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """As ``_frequent``, but only buckets whose class counts differ from the share of class 1 by ``TELLING`` deviations."""
     buckets, flat, offsets = _frequent(x, LEAST_DOCUMENTS)
     row = np.repeat(np.arange(len(y)), np.diff(offsets))
@@ -119,7 +124,7 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 class FactorizationMachine:
     """bias + sum w_i + sum over pairs <v_i, v_j>, for the active buckets."""
 
-    def __init__(self, x: list[np.ndarray], y: np.ndarray, epochs: int = 20, batch: int = 128, rate: float = 0.2, l2: float = 1e-5, seed: int = 1):
+    def __init__(self, x: tuple[np.ndarray, np.ndarray], y: np.ndarray, epochs: int = 20, batch: int = 128, rate: float = 0.2, l2: float = 1e-5, seed: int = 1):
         self.buckets, flat, offsets = _telling(x, y)
         n, rng = len(self.buckets), np.random.default_rng(seed)
         share = (y.sum() + 1) / (len(y) + 2)
@@ -176,7 +181,7 @@ class FactorizationMachine:
 class NaiveBayesSVM:
     """Hinge loss over n-gram indicators scaled by log-count ratios."""
 
-    def __init__(self, x: list[np.ndarray], y: np.ndarray, c: float = 0.1, epochs: int = 15, seed: int = 1, smoothing: float = 1.0):
+    def __init__(self, x: tuple[np.ndarray, np.ndarray], y: np.ndarray, c: float = 0.1, epochs: int = 15, seed: int = 1, smoothing: float = 1.0):
         self.buckets, flat, offsets = _frequent(x, LEAST_DOCUMENTS)
         n, rng = len(self.buckets), np.random.default_rng(seed)
         share = (y.sum() + 1) / (len(y) + 2)
