@@ -15,8 +15,8 @@ Merging a list of k documents emits no k*k pairs.  Sets that are equal are one
 set from the start.  Each list first proposes two hubs, and every document is compared
 to two of those its lists propose; links found make components, and afterwards only pairs of members
 in different components remain to be compared: members outside a list's largest
-component against the rest.  A pair inside one component cannot change the
-result.  512-bit parity signatures, whose distance never exceeds the true set
+component against the rest, the nearest pair of two components first.  A pair
+inside one component cannot change the result.  512-bit parity signatures, whose distance never exceeds the true set
 difference, rule pairs out before their sets are fetched.
 
 Results: ``components`` gives one row per document.  Null or empty texts and
@@ -180,10 +180,15 @@ def _sets_of(rows: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
     return written(rows.where("_id is not null").withColumn("_key", F.xxhash64("_id")).mapInArrow(_full_sets(k, wanted), schema), "sets")
 
 
+def _apart(a: str, b: str) -> Column:
+    """Distance of the signatures of the rows with prefixes a and b; never over the true set difference."""
+    return functools.reduce(lambda x, y: x + y, [F.bit_count(F.get(f"{a}sig", F.lit(k)).bitwiseXOR(F.get(f"{b}sig", F.lit(k)))) for k in range(SIGNATURE)])
+
+
 def _may_link(a: str, b: str, percent: int) -> Column:
     """Sizes and signatures allow a link of the rows with prefixes a and b."""
     n, m = F.col(f"{a}n"), F.col(f"{b}n")
-    apart = functools.reduce(lambda x, y: x + y, [F.bit_count(F.get(f"{a}sig", F.lit(k)).bitwiseXOR(F.get(f"{b}sig", F.lit(k)))) for k in range(SIGNATURE)])
+    apart = _apart(a, b)
     least_overlap = F.ceil(F.lit(percent) * (n + m) / F.lit(100 + percent))
     return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (apart <= n + m - 2 * least_overlap)
 
@@ -278,11 +283,22 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     y = mixed.select("_s", F.col("_id").alias("_y"), F.col("_label").alias("_yl"), F.col("_n").alias("_yn"), F.col("_sig").alias("_ysig"))
     across = (F.col("_xl") != F.col("_yl")) & ((F.col("_yl") == F.col("_main")) | (F.col("_x") < F.col("_y")))
     pairs = x.hint("merge").join(y, "_s").where(across & _may_link("_x", "_y", percent))
-    pairs = pairs.select(F.least("_x", "_y").alias("_x"), F.greatest("_x", "_y").alias("_y")).distinct()
-    more = written(_linked(pairs, rows, shingle, percent), "links")
-
-    if more.limit(1).count():  # components are joined by further links
-        labels = connected(links.unionByName(more))
+    pairs = pairs.select(F.least("_x", "_y").alias("_x"), F.greatest("_x", "_y").alias("_y"), F.least("_xl", "_yl").alias("_p"), F.greatest("_xl", "_yl").alias("_q"), _apart("_x", "_y").alias("_apart"))
+    pairs = written(pairs.distinct(), "cross-pairs")
+
+    # of two components the nearest pair is probed first; where it links, their other pairs need no sets
+    nearest = pairs.groupBy("_p", "_q").agg(F.min(F.struct("_apart", "_x", "_y")).alias("_best")).select("_best._x", "_best._y")
+    found = written(_linked(nearest, rows, shingle, percent), "links")
+    links = links.unionByName(found)
+    if found.limit(1).count():
+        labels = connected(links)
+    merged = labels.select(F.col("_id").alias("_p"), F.col("_label").alias("_pl")), labels.select(F.col("_id").alias("_q"), F.col("_label").alias("_ql"))
+    left = pairs.join(merged[0], "_p", "left").join(merged[1], "_q", "left").where(F.coalesce("_pl", "_p") != F.coalesce("_ql", "_q"))
+    left = written(left.select("_x", "_y").distinct().join(nearest, ["_x", "_y"], "left_anti"), "cross-pairs")
+    if left.limit(1).count():
+        more = written(_linked(left, rows, shingle, percent), "links")
+        if more.limit(1).count():
+            labels = connected(links.unionByName(more))
     # classes of equal sets carry the label of the document that stands for them
     of_rep = members.join(labels.select(F.col("_id").alias("_rep"), F.col("_label")), "_rep", "left").select("_id", F.coalesce("_label", "_rep").alias("_label"))
     several = of_rep.groupBy("_id").agg(F.min("_label").alias("_label"))
