@@ -16,8 +16,8 @@ set from the start.  Each list first proposes two hubs, and every document is co
 to two of those its lists propose; links found make components, and afterwards only pairs of members
 in different components remain to be compared: members outside a list's largest
 component against the rest, the nearest pair of two components first.  A pair
-inside one component cannot change the result.  512-bit parity signatures, whose distance never exceeds the true set
-difference, rule pairs out before their sets are fetched.
+inside one component cannot change the result.  Parity signatures of half a bit and more for each shingle (512 at
+least), whose distance never exceeds the true set difference, rule pairs out before their sets are fetched.
 
 Results: ``components`` gives one row per document.  Null or empty texts and
 texts without words have no shingles and link with nothing; fewer words than a
@@ -111,11 +111,14 @@ def _profiles(k: int, percent: int, frequent):
             inside = np.arange(len(s)) - start[doc]
             short = order[inside < short_lists(n, percent)[doc]]
             short_n = np.bincount(doc[short], minlength=len(n))
-            bits = (s * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(55)).astype(np.int64)  # 0..511
-            odd = np.unique(doc * 512 + bits, return_counts=True)
-            flat = np.zeros(len(n) * 512, dtype=np.uint8)
-            flat[odd[0]] = odd[1] & 1
-            signature = np.packbits(flat.reshape(-1, 512), axis=1, bitorder="little").view(np.int64)
+            # bits of the signature: SIGNATURE words for sets of up to 1024, twice as many for twice the size
+            wide = SIGNATURE << np.maximum(np.ceil(np.log2(np.maximum(n, 1) / 1024)), 0).astype(np.int64)
+            ends_of = np.concatenate(([0], np.cumsum(wide)))
+            bits = (s * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(24)).astype(np.int64) % (wide * 64)[doc]
+            at_bit, times = np.unique(ends_of[doc] * 64 + bits, return_counts=True)
+            flat = np.zeros(int(ends_of[-1]) * 64, dtype=np.uint8)
+            flat[at_bit] = times & 1
+            signature = np.packbits(flat, bitorder="little").view(np.int64)
             raw = s.tobytes()
             digest = [xxhash.xxh3_128_digest(raw[8 * a : 8 * b]) for a, b in zip(start[:-1].tolist(), start[1:].tolist(), strict=True)]
             pos = np.concatenate(([0], np.cumsum(short_n))).astype(np.int32)
@@ -123,7 +126,7 @@ def _profiles(k: int, percent: int, frequent):
                 "_id": batch.column("_id"),
                 "_n": pa.array(n.astype(np.int64)),
                 "_digest": pa.array(digest, pa.binary()),
-                "_sig": pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * SIGNATURE), pa.array(signature.reshape(-1))),
+                "_sig": pa.ListArray.from_arrays(pa.array(ends_of.astype(np.int32)), pa.array(signature)),
                 "_short": pa.ListArray.from_arrays(pa.array(pos), pa.array(s[short].view(np.int64))),
             }
 
@@ -182,7 +185,19 @@ def _sets_of(rows: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
 
 def _apart(a: str, b: str) -> Column:
     """Distance of the signatures of the rows with prefixes a and b; never over the true set difference."""
-    return functools.reduce(lambda x, y: x + y, [F.bit_count(F.get(f"{a}sig", F.lit(k)).bitwiseXOR(F.get(f"{b}sig", F.lit(k)))) for k in range(SIGNATURE)])
+    x, y = F.col(f"{a}sig"), F.col(f"{b}sig")
+    short = functools.reduce(lambda p, q: p + q, [F.bit_count(F.get(x, F.lit(k)).bitwiseXOR(F.get(y, F.lit(k)))) for k in range(SIGNATURE)])
+
+    def folded(v: Column, n: Column) -> Column:  # a signature of twice the width becomes one of the other's
+        half = F.zip_with(F.slice(v, F.lit(1), n), F.slice(v, n + 1, n), lambda p, q: p.bitwiseXOR(q))
+        return F.when(F.size(v) == n * 2, half).otherwise(v)
+
+    n = F.least(F.size(x), F.size(y))
+    apart = F.zip_with(folded(x, n), folded(y, n), lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+    wide = F.aggregate(apart, F.lit(0), lambda p, q: p + q)
+    # sizes that may link differ by one width at most; others are ruled out by size
+    comparable = F.greatest(F.size(x), F.size(y)) <= n * 2
+    return F.when((F.size(x) == SIGNATURE) & (F.size(y) == SIGNATURE), short).when(comparable, wide).otherwise(F.lit(0))
 
 
 def _may_link(a: str, b: str, percent: int) -> Column:
