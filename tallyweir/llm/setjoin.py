@@ -3,11 +3,11 @@
 A document is the set of its distinct ``shingle``-word shingles.  Two documents
 with sets of a and b shingles link when 100 * overlap >= percent * union.  Any
 partner shares at least T = ceil(percent/100 * a) of a document's shingles.
-DivideSkip: of a document's a inverted lists the T-1 longest are set aside, so
-that every partner occurs at least once in the a-T+1 lists that remain.  Those
-short lists are merged by a shuffle on the shingle; the lists set aside are
-probed afterwards, by binary search in the candidate's sorted set, for the full
-overlap.  Which lists are long is decided by one order for the whole corpus:
+DivideSkip: of a document's a inverted lists the T-COMMON longest are set aside, so
+that every partner occurs at least COMMON times in the lists that remain (all of
+its times, where T is smaller).  Those short lists are merged by a shuffle on the
+shingle; the lists set aside are probed afterwards, by binary search in the
+candidate's sorted set, for the full overlap.  Which lists are long is decided by one order for the whole corpus:
 shingles that are frequent (at most 2**20 of them, by counts that every task
 gathers) come last by count, all others by hash.
 
@@ -15,8 +15,9 @@ Merging a list of k documents emits no k*k pairs.  Sets that are equal are one
 set from the start.  Each list first proposes two hubs, and every document is compared
 to two of those its lists propose; links found make components, and afterwards only pairs of members
 in different components remain to be compared: members outside a list's largest
-component against the rest, the nearest pair of two components first.  A pair
-inside one component cannot change the result.  Parity signatures of half a bit and more for each shingle (512 at
+component against the rest, pairs with too few common short lists left out, the
+nearest pair of two components first.  A pair inside one component cannot change
+the result.  Lists carry ids and sizes only.  Parity signatures of half a bit and more for each shingle (512 at
 least), whose distance never exceeds the true set difference, rule pairs out before their sets are fetched.
 
 Results: ``components`` gives one row per document.  Null or empty texts and
@@ -42,6 +43,8 @@ from tallyweir.llm.wordhash import WordHasher, pieces, run_documents, run_hashes
 
 SHINGLE, PERCENT = 4, 85
 SIGNATURE = 8  # 64-bit words
+#: Short lists that linked documents have in common at least.
+COMMON = 4
 #: Frequent shingles that are kept apart at most (16 bytes each), and the least count of one.
 MAX_FREQUENT, LEAST_FREQUENT = 1 << 20, 64
 #: A task reports shingles that at least so many of its last million words' documents share.
@@ -92,9 +95,9 @@ def frequent_shingles(rows: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     return s[order], got["_n"].to_numpy(dtype=np.int64)[order]
 
 
-def short_lists(n: int | np.ndarray, percent: int) -> int | np.ndarray:
-    """How many lists stay when the T-1 longest of n are set aside, T = ceil(percent * n / 100)."""
-    return n - (-(-percent * n // 100)) + 1
+def short_lists(n: int | np.ndarray, percent: int, common: int = COMMON) -> int | np.ndarray:
+    """How many lists stay when the T-common longest of n are set aside, T = ceil(percent * n / 100)."""
+    return np.minimum(n - (-(-percent * n // 100)) + common, n)
 
 
 def _profiles(k: int, percent: int, frequent):
@@ -200,12 +203,19 @@ def _apart(a: str, b: str) -> Column:
     return F.when((F.size(x) == SIGNATURE) & (F.size(y) == SIGNATURE), short).when(comparable, wide).otherwise(F.lit(0))
 
 
+def _least_overlap(a: str, b: str, percent: int) -> Column:
+    return F.ceil(F.lit(percent) * (F.col(f"{a}n") + F.col(f"{b}n")) / F.lit(100 + percent))
+
+
+def _sizes_fit(a: str, b: str, percent: int) -> Column:
+    n, m = F.col(f"{a}n"), F.col(f"{b}n")
+    return F.least(n, m) * 100 >= F.greatest(n, m) * percent
+
+
 def _may_link(a: str, b: str, percent: int) -> Column:
     """Sizes and signatures allow a link of the rows with prefixes a and b."""
     n, m = F.col(f"{a}n"), F.col(f"{b}n")
-    apart = _apart(a, b)
-    least_overlap = F.ceil(F.lit(percent) * (n + m) / F.lit(100 + percent))
-    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (apart <= n + m - 2 * least_overlap)
+    return _sizes_fit(a, b, percent) & (_apart(a, b) <= n + m - 2 * _least_overlap(a, b, percent))
 
 
 def _linked(pairs: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFrame:
@@ -271,7 +281,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     postings = written(postings.join(reps.hint("merge"), "_d", "left_semi"), "postings")
     hubs = postings.groupBy("_s").agg(F.count("*").alias("_k"), F.min(F.struct("_dn", "_d")).alias("_h1"), F.min(F.struct(F.xxhash64("_d").alias("_hash"), "_d")).alias("_h2"))
     hubs = written(hubs.where("_k > 1").select("_s", F.col("_h1._d").alias("_h1"), F.col("_h2._d").alias("_h2")), "hubs")
-    shared = written(postings.join(hubs.hint("merge"), "_s").select("_s", "_d", "_h1", "_h2"), "shared-lists")
+    shared = written(postings.join(hubs.hint("merge"), "_s").select("_s", "_d", "_dn", "_h1", "_h2"), "shared-lists")
     # one hub by size and one by hash for each document, the least of those its lists have
     other = lambda c: F.when(F.col(c) != F.col("_d"), F.col(c))
     hub_of = shared.groupBy("_d").agg(F.min(other("_h1")).alias("_h1"), F.min(F.struct(F.xxhash64(other("_h2")).alias("_hash"), other("_h2").alias("_h2")))["_h2"].alias("_h2"))
@@ -279,7 +289,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     proposed = proposed.select(F.least("_x", "_y").alias("_x"), F.greatest("_x", "_y").alias("_y")).distinct()
     involved = shared.select(F.col("_d").alias("_id")).distinct()
     signatures = named.select("_id", "_n", "_sig").join(involved.hint("merge"), "_id", "left_semi")
-    signatures = written(signatures.dropDuplicates(["_id", "_n"]), "signatures")
+    signatures = written(signatures.distinct(), "signatures")
 
     def side(name: str) -> DataFrame:
         return signatures.select(F.col("_id").alias(f"_{name}"), F.col("_n").alias(f"_{name}n"), F.col("_sig").alias(f"_{name}sig"))
@@ -289,16 +299,24 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     labels = connected(links)
 
     # members of one list in different components: those outside its largest component against all
-    listed = shared.select("_s", F.col("_d").alias("_id")).join(labels, "_id", "left").select("_s", "_id", F.coalesce("_label", "_id").alias("_label"))
-    listed = written(listed.join(signatures, "_id"), "listed")
+    listed = shared.select("_s", F.col("_d").alias("_id"), F.col("_dn").alias("_n")).join(labels, "_id", "left").select("_s", "_id", "_n", F.coalesce("_label", "_id").alias("_label"))
+    listed = written(listed, "listed")
     sizes = listed.groupBy("_s", "_label").agg(F.count("*").alias("_k"))
     mixed = sizes.groupBy("_s").agg(F.max(F.struct("_k", "_label"))["_label"].alias("_main"), F.count("*").alias("_labels")).where("_labels > 1").select("_s", "_main")
-    mixed = written(listed.join(mixed.hint("merge"), "_s"), "mixed-lists")
-    x = mixed.where("_label <> _main").select("_s", F.col("_main"), F.col("_id").alias("_x"), F.col("_label").alias("_xl"), F.col("_n").alias("_xn"), F.col("_sig").alias("_xsig"))
-    y = mixed.select("_s", F.col("_id").alias("_y"), F.col("_label").alias("_yl"), F.col("_n").alias("_yn"), F.col("_sig").alias("_ysig"))
+    mixed = listed.join(mixed.hint("merge"), "_s")
+    x = mixed.where("_label <> _main").select("_s", "_main", F.col("_id").alias("_x"), F.col("_label").alias("_xl"), F.col("_n").alias("_xn"))
+    y = listed.select("_s", F.col("_id").alias("_y"), F.col("_label").alias("_yl"), F.col("_n").alias("_yn"))
     across = (F.col("_xl") != F.col("_yl")) & ((F.col("_yl") == F.col("_main")) | (F.col("_x") < F.col("_y")))
-    pairs = x.hint("merge").join(y, "_s").where(across & _may_link("_x", "_y", percent))
-    pairs = pairs.select(F.least("_x", "_y").alias("_x"), F.greatest("_x", "_y").alias("_y"), F.least("_xl", "_yl").alias("_p"), F.greatest("_xl", "_yl").alias("_q"), _apart("_x", "_y").alias("_apart"))
+    pairs = x.hint("merge").join(y, "_s").where(across & _sizes_fit("_x", "_y", percent))
+    ends = F.struct(F.col("_x"), F.col("_xn"), F.col("_xl")), F.struct(F.col("_y").alias("_x"), F.col("_yn").alias("_xn"), F.col("_yl").alias("_xl"))
+    pairs = pairs.select(F.least(*ends).alias("_a"), F.greatest(*ends).alias("_b")).select(
+        "_a._x", "_a._xn", F.col("_a._xl").alias("_p"), F.col("_b._x").alias("_y"), F.col("_b._xn").alias("_yn"), F.col("_b._xl").alias("_q")
+    )
+    # each pair once for every short list that both are in
+    pairs = pairs.groupBy("_x", "_xn", "_p", "_y", "_yn", "_q").agg(F.count("*").alias("_common"))
+    pairs = written(pairs.where(F.col("_common") >= F.least(F.lit(COMMON), _least_overlap("_x", "_y", percent))), "common-lists")
+    pairs = pairs.join(side("x"), ["_x", "_xn"]).join(side("y"), ["_y", "_yn"]).where(_may_link("_x", "_y", percent))
+    pairs = pairs.select("_x", "_y", F.least("_p", "_q").alias("_p"), F.greatest("_p", "_q").alias("_q"), _apart("_x", "_y").alias("_apart"))
     pairs = written(pairs.distinct(), "cross-pairs")
 
     # of two components the nearest pair is probed first; where it links, their other pairs need no sets
