@@ -62,6 +62,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files of tables from ``written`` that nothing reads any more."""
+    for df in tables:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            _delete(df.sparkSession, path)
+
+
 def remainder(doc_id: Column, n: int) -> Column:
     """crc32 of the id written as text, modulo ``n``; a null id counts as ''."""
     text = F.coalesce(doc_id.cast("string"), F.lit(""))

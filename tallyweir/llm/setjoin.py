@@ -17,7 +17,8 @@ to two of those its lists propose; links found make components, and afterwards o
 in different components remain to be compared: members outside a list's largest
 component against the rest, pairs with too few common short lists left out, the
 nearest pair of two components first.  A pair inside one component cannot change
-the result.  Lists carry ids and sizes only.  Parity signatures of half a bit and more for each shingle (512 at
+the result.  Lists carry ids, sizes and the signatures of up to
+SIGNATURE words; wider ones are fetched for the pairs that remain.  Parity signatures of half a bit and more for each shingle (512 at
 least), whose distance never exceeds the true set difference, rule pairs out before their sets are fetched.
 
 Results: ``components`` gives one row per document.  Null or empty texts and
@@ -37,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyweir.llm.common import table, written
+from tallyweir.llm.common import discard, table, written
 from tallyweir.llm.sketch import Bitmap, sketch
 from tallyweir.llm.wordhash import WordHasher, pieces, run_documents, run_hashes, table_map
 
@@ -95,9 +96,9 @@ def frequent_shingles(rows: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     return s[order], got["_n"].to_numpy(dtype=np.int64)[order]
 
 
-def short_lists(n: int | np.ndarray, percent: int, common: int = COMMON) -> int | np.ndarray:
-    """How many lists stay when the T-common longest of n are set aside, T = ceil(percent * n / 100)."""
-    return np.minimum(n - (-(-percent * n // 100)) + common, n)
+def short_lists(n: int | np.ndarray, percent: int) -> int | np.ndarray:
+    """How many lists stay when the T-COMMON longest of n are set aside, T = ceil(percent * n / 100)."""
+    return np.minimum(n - (-(-percent * n // 100)) + COMMON, n)
 
 
 def _profiles(k: int, percent: int, frequent):
@@ -238,7 +239,9 @@ def _linked(pairs: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFram
 
     x = sets.select(F.col("_id").alias("_x"), F.col("_set").alias("_xs"))
     y = sets.select(F.col("_id").alias("_y"), F.col("_set").alias("_ys"))
-    return pairs.join(x, "_x").join(y, "_y").where(probe("_xs", "_ys")).select("_x", "_y")
+    found = written(pairs.join(x, "_x").join(y, "_y").where(probe("_xs", "_ys")).select("_x", "_y"), "links")
+    discard(sets)
+    return found
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -282,6 +285,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     hubs = postings.groupBy("_s").agg(F.count("*").alias("_k"), F.min(F.struct("_dn", "_d")).alias("_h1"), F.min(F.struct(F.xxhash64("_d").alias("_hash"), "_d")).alias("_h2"))
     hubs = written(hubs.where("_k > 1").select("_s", F.col("_h1._d").alias("_h1"), F.col("_h2._d").alias("_h2")), "hubs")
     shared = written(postings.join(hubs.hint("merge"), "_s").select("_s", "_d", "_dn", "_h1", "_h2"), "shared-lists")
+    discard(postings, hubs)
     # one hub by size and one by hash for each document, the least of those its lists have
     other = lambda c: F.when(F.col(c) != F.col("_d"), F.col(c))
     hub_of = shared.groupBy("_d").agg(F.min(other("_h1")).alias("_h1"), F.min(F.struct(F.xxhash64(other("_h2")).alias("_hash"), other("_h2").alias("_h2")))["_h2"].alias("_h2"))
@@ -290,12 +294,14 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     involved = shared.select(F.col("_d").alias("_id")).distinct()
     signatures = named.select("_id", "_n", "_sig").join(involved.hint("merge"), "_id", "left_semi")
     signatures = written(signatures.distinct(), "signatures")
+    counts = written(profiles.select("_id", "_n"), "sizes")
+    discard(profiles, same)
 
     def side(name: str) -> DataFrame:
         return signatures.select(F.col("_id").alias(f"_{name}"), F.col("_n").alias(f"_{name}n"), F.col("_sig").alias(f"_{name}sig"))
 
     proposed = proposed.join(side("x"), "_x").join(side("y"), "_y").where(_may_link("_x", "_y", percent)).select("_x", "_y").distinct()
-    links = written(_linked(proposed, rows, shingle, percent), "links")
+    links = _linked(proposed, rows, shingle, percent)
     labels = connected(links)
 
     # members of one list in different components: those outside its largest component against all
@@ -303,11 +309,15 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     listed = written(listed, "listed")
     sizes = listed.groupBy("_s", "_label").agg(F.count("*").alias("_k"))
     mixed = sizes.groupBy("_s").agg(F.max(F.struct("_k", "_label"))["_label"].alias("_main"), F.count("*").alias("_labels")).where("_labels > 1").select("_s", "_main")
-    mixed = listed.join(mixed.hint("merge"), "_s")
-    x = mixed.where("_label <> _main").select("_s", "_main", F.col("_id").alias("_x"), F.col("_label").alias("_xl"), F.col("_n").alias("_xn"))
-    y = listed.select("_s", F.col("_id").alias("_y"), F.col("_label").alias("_yl"), F.col("_n").alias("_yn"))
+    # shuffled once for both sides
+    narrow = signatures.where(F.size("_sig") == SIGNATURE)
+    signed = listed.join(narrow.hint("merge"), ["_id", "_n"], "left").repartition("_s")
+    mixed = signed.join(mixed.hint("merge"), "_s")
+    x = mixed.where("_label <> _main").select("_s", "_main", F.col("_id").alias("_x"), F.col("_label").alias("_xl"), F.col("_n").alias("_xn"), F.col("_sig").alias("_xsig"))
+    y = signed.select("_s", F.col("_id").alias("_y"), F.col("_label").alias("_yl"), F.col("_n").alias("_yn"), F.col("_sig").alias("_ysig"))
     across = (F.col("_xl") != F.col("_yl")) & ((F.col("_yl") == F.col("_main")) | (F.col("_x") < F.col("_y")))
-    pairs = x.hint("merge").join(y, "_s").where(across & _sizes_fit("_x", "_y", percent))
+    narrow_fit = F.col("_xsig").isNull() | F.col("_ysig").isNull() | _may_link("_x", "_y", percent)
+    pairs = x.hint("merge").join(y, "_s").where(across & _sizes_fit("_x", "_y", percent) & narrow_fit)
     ends = F.struct(F.col("_x"), F.col("_xn"), F.col("_xl")), F.struct(F.col("_y").alias("_x"), F.col("_yn").alias("_xn"), F.col("_yl").alias("_xl"))
     pairs = pairs.select(F.least(*ends).alias("_a"), F.greatest(*ends).alias("_b")).select(
         "_a._x", "_a._xn", F.col("_a._xl").alias("_p"), F.col("_b._x").alias("_y"), F.col("_b._xn").alias("_yn"), F.col("_b._xl").alias("_q")
@@ -321,7 +331,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
     # of two components the nearest pair is probed first; where it links, their other pairs need no sets
     nearest = pairs.groupBy("_p", "_q").agg(F.min(F.struct("_apart", "_x", "_y")).alias("_best")).select("_best._x", "_best._y")
-    found = written(_linked(nearest, rows, shingle, percent), "links")
+    found = _linked(nearest, rows, shingle, percent)
     links = links.unionByName(found)
     if found.limit(1).count():
         labels = connected(links)
@@ -329,13 +339,13 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     left = pairs.join(merged[0], "_p", "left").join(merged[1], "_q", "left").where(F.coalesce("_pl", "_p") != F.coalesce("_ql", "_q"))
     left = written(left.select("_x", "_y").distinct().join(nearest, ["_x", "_y"], "left_anti"), "cross-pairs")
     if left.limit(1).count():
-        more = written(_linked(left, rows, shingle, percent), "links")
+        more = _linked(left, rows, shingle, percent)
         if more.limit(1).count():
             labels = connected(links.unionByName(more))
     # classes of equal sets carry the label of the document that stands for them
     of_rep = members.join(labels.select(F.col("_id").alias("_rep"), F.col("_label")), "_rep", "left").select("_id", F.coalesce("_label", "_rep").alias("_label"))
     several = of_rep.groupBy("_id").agg(F.min("_label").alias("_label"))
-    return profiles.select("_id", "_n").join(several, "_id", "left").select(
+    return counts.join(several, "_id", "left").select(
         F.col("_id").alias(doc_id), F.col("_n").alias("n_shingles"), F.coalesce("_label", "_id").alias("component_id")
     )
 
