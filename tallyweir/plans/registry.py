@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tallyweir.operators import analyses as an
 from tallyweir.operators import dashboards as db
 from tallyweir.operators import rules
+from tallyweir.plans import more
 from tallyweir.sources.models import CONVERSATION_SQL, IMPRESSIONS_SQL, conversation_events, funnel_events, impressions, table
 
 QUERIES: dict = {}
@@ -85,6 +86,9 @@ _add("v1_merge_upsert", lambda s, d: rules.merge_upsert(table(s, d, "orders").wh
 _add("v2_delete_where", lambda s, d: rules.delete_where(table(s, d, "orders").select("o_orderkey", "o_orderstatus"), F.col("o_orderstatus") == "F"), "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus <> 'F' OR o_orderstatus IS NULL")
 
 
+QUERIES.update(more.QUERIES)
+ORACLES.update(more.ORACLES)
+
 #: Columns of type date, given as text on both sides.
 _DATES = {
     "date": ("a1_impressions_aggregated", "a6_hourly_traffic", "s5_list_partitions", "s14_filter_sink_rows", "j10_missing_periods", "q4_check_volume"),
