@@ -5,8 +5,8 @@ each line's hash and its predecessor's; a chunk ends where the rolling hash is a
 multiple of ``divisor`` and the place before was no such end, so that ends
 depend on the lines around them alone and move along with inserted text, and
 every chunk but a text's last has two lines or more.  Chunks of two lines or
-more that hold words are compared across the whole corpus: by a 64-bit hash
-first, and those whose hash occurs again byte by byte.  The first place (by
+more, of which one at least holds a word (the others may be blank, as between
+paragraphs), are compared across the whole corpus: by a 64-bit hash first, and those whose hash occurs again byte by byte.  The first place (by
 document id, then line) keeps a repeated chunk, the others lose it.
 
 Null texts have no lines and stay null; an empty text is one empty line.  Rows
@@ -47,8 +47,8 @@ def _chunks(docs: DataFrame, divisor: int) -> DataFrame:
     rows = rows.select("_id", "_t", "_lines", F.explode(F.arrays_zip(_shifted(F.col("_ends"), F.lit(0)).alias("s"), F.col("_ends").alias("e"))).alias("_c"))
     part = F.slice("_lines", F.col("_c.s") + 1, F.col("_c.e") - F.col("_c.s"))
     rows = rows.where(F.col("_c.e") - F.col("_c.s") >= 2).select("_id", "_t", F.col("_c.s").alias("_start"), F.col("_c.e").alias("_end"), part.alias("_part"))
-    worded = F.size(F.filter("_part", lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    return rows.where(worded >= 2).select("_id", "_t", "_start", "_end", F.xxhash64(F.array_join("_part", "\n")).alias("_key"))
+    worded = F.exists("_part", lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    return rows.where(worded).select("_id", "_t", "_start", "_end", F.xxhash64(F.array_join("_part", "\n")).alias("_key"))
 
 
 def repeated_chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", divisor: int = DIVISOR) -> DataFrame:
