@@ -1,10 +1,10 @@
 """Quality rules: counts of a text, and its divergence from its language.
 
 For every language the corpus holds, two reference histograms are taken over all
-documents: characters by class, and common words (a share of ``COMMON`` or more;
-every task reports, of each million words, those that reach a quarter of that
-share, so that a reference share is short by less than a quarter of ``COMMON``)
-with all others as one bin.  A document is compared with the references of its
+documents: characters by class, and common words (a share of ``COMMON`` or more)
+with all others as one bin.  Tasks report the count of every word, and only the
+sums over all documents are compared with ``COMMON``, so that references depend
+neither on the order of the rows nor on their partitions.  A document is compared with the references of its
 ``lang``, or with the nearest of all references where ``lang`` is null or has none,
 by the Jensen-Shannon distance (base 2, 0 to 1).  Short texts stray from any
 reference by chance, hence each distance is only used from a least length on and
@@ -26,10 +26,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyweir.llm.common import table
+from tallyweir.llm.common import table, written
 
 CLASSES = ("lower", "upper", "letter beyond ASCII", "digit", "white space", "punctuation", "symbol", "other")
-COMMON, REPORTED = 0.002, 0.0005
+COMMON = 0.002
 #: Least lengths, limits, and the widening for a text of one character or word.
 LEAST_CHARS, CHAR_LIMIT, CHAR_WIDEN = 100, 0.2, 1.0
 LEAST_WORDS, WORD_LIMIT, WORD_WIDEN = 40, 0.3, 1.0
@@ -95,11 +95,11 @@ def _reference_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     def report() -> Iterator[pa.RecordBatch]:
         for lang, count in words.items():
             total = sum(count.values())
-            rows = [("w", w.decode("utf-8", "replace"), c) for w, c in count.items() if c >= REPORTED * total]
+            rows = [("w", w.decode("utf-8", "replace"), c) for w, c in count.items()]
             rows += [("n", "", total), *(("c", str(k), int(c)) for k, c in enumerate(classes[lang]))]
-            yield pa.RecordBatch.from_pydict(
-                {"lang": pa.array([lang] * len(rows), pa.string()), "kind": pa.array([r[0] for r in rows]), "key": pa.array([r[1] for r in rows]), "n": pa.array([r[2] for r in rows], pa.int64())}
-            )
+            for s in range(0, len(rows), 50_000):
+                kinds, keys, counts = zip(*rows[s : s + 50_000], strict=True)
+                yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(kinds), pa.string()), "kind": pa.array(kinds), "key": pa.array(keys), "n": pa.array(counts, pa.int64())})
 
     for batch in batches:
         for text, lang in zip(batch.column("_text"), batch.column("_lang"), strict=True):
@@ -120,7 +120,7 @@ def language_references(docs: DataFrame, lang: str = "lang", text: str = "text")
     """Per language: number of each common word, word shares (others last), class shares."""
     rows = docs.select(F.col(lang).alias("_lang"), F.col(text).alias("_text"))
     parts = rows.mapInArrow(_reference_parts, "lang string, kind string, key string, n long")
-    sums = parts.groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
+    sums = written(parts.groupBy("lang", "kind", "key").agg(F.sum("n").alias("n")), "word-counts")  # read twice
     total = sums.where("kind = 'n'").select("lang", F.col("n").alias("total"))
     # at most 1 / COMMON words and len(CLASSES) + 1 other rows of each language
     sums = sums.join(total, "lang").where((F.col("kind") != "w") | (F.col("n") >= F.col("total") * COMMON))
