@@ -103,6 +103,10 @@ class _Tree(HTMLParser):
     def handle_data(self, data: str) -> None:
         self.at.parts.append(data)
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """``<![`` of any kind is a comment up to the next ``>``, as in browsers; the base class raises or looks far ahead."""
+        return self.parse_bogus_comment(i, report)
+
 
 def _measure(root: _Node) -> list[_Node]:
     """Counts of every kept node, children before parents."""
@@ -164,11 +168,8 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     tree = _Tree()
-    try:
-        tree.feed(html)
-        tree.close()
-    except AssertionError:  # the parser's answer to a broken declaration; what came before it stays
-        pass
+    tree.feed(html)
+    tree.close()
     order = _measure(tree.root)
     body = next((x for x in reversed(order) if x.tag == "body"), tree.root)
     share = body.lc / max(body.c, 1)
