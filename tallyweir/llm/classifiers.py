@@ -8,7 +8,10 @@ never inputs of a score.
 * Toxicity: a factorization machine over hashed terms.  Terms are lower-cased
   words and their first four and five letters; each term of a document is
   active once.  Beside a weight every bucket has a ``FACTORS``-vector, whose
-  inner products weigh pairs of terms, as an insult with a group's name.
+  inner products weigh pairs of terms, as an insult with a group's name.  Every
+  bucket of ``LEAST_DOCUMENTS`` or more is in the machine, telling alone or not: at
+  each step weights shrink towards 0, and vectors towards where they started, by
+  ``chance`` (``chance_v``) times what a bucket as frequent drifts by chance.
 * Quality: Naive Bayes support vectors.  N-gram indicators of one and two tokens
   (words, runs of symbols, marks for capitals, repetition and repeated lines)
   are scaled by the log-ratio of their class counts; a linear hinge-loss model
@@ -35,7 +38,7 @@ from pyspark.sql import functions as F
 from tallyweir.llm.common import remainder, table
 
 MAX_ROWS, THRESHOLD = 6_000, 0.7
-BUCKET_BITS, FACTORS, LEAST_DOCUMENTS, TELLING = 22, 4, 3, 3.0
+BUCKET_BITS, FACTORS, LEAST_DOCUMENTS = 22, 4, 3
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 _TOKENS = re.compile(r"[^\W_]+|[^\w\s]+|_+")
@@ -103,20 +106,6 @@ def _frequent(x: tuple[np.ndarray, np.ndarray], least: int) -> tuple[np.ndarray,
     return buckets, at[kept], before[offsets]
 
 
-def _telling(x: tuple[np.ndarray, np.ndarray], y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """As ``_frequent``, but only buckets whose class counts differ from the share of class 1 by ``TELLING`` deviations."""
-    buckets, flat, offsets = _frequent(x, LEAST_DOCUMENTS)
-    row = np.repeat(np.arange(len(y)), np.diff(offsets))
-    n = np.bincount(flat, minlength=len(buckets))
-    ones = np.bincount(flat, weights=y[row], minlength=len(buckets))
-    share = (y.sum() + 1) / (len(y) + 2)
-    # documents differ in length, hence the share among all occurrences of buckets is the one to expect
-    expected = n * max(share, ones.sum() / max(n.sum(), 1))
-    keep = np.abs(ones - expected) >= TELLING * np.sqrt(np.maximum(expected * (1 - share), 0.25))
-    number, kept = np.cumsum(keep) - 1, keep[flat]
-    return buckets[keep], number[flat[kept]], np.concatenate(([0], np.cumsum(np.bincount(row[kept], minlength=len(y)))))
-
-
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
@@ -124,14 +113,19 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 class FactorizationMachine:
     """bias + sum w_i + sum over pairs <v_i, v_j>, for the active buckets."""
 
-    def __init__(self, x: tuple[np.ndarray, np.ndarray], y: np.ndarray, epochs: int = 20, batch: int = 128, rate: float = 0.2, l2: float = 1e-5, seed: int = 1):
-        self.buckets, flat, offsets = _telling(x, y)
+    def __init__(self, x: tuple[np.ndarray, np.ndarray], y: np.ndarray, epochs: int = 12, batch: int = 128, rate: float = 0.2, l2: float = 1e-5, chance: float = 0.7, chance_v: float = 3.0, damp_w: float = 1e-4, damp_v: float = 1e-3, seed: int = 1):
+        self.buckets, flat, offsets = _frequent(x, LEAST_DOCUMENTS)
         n, rng = len(self.buckets), np.random.default_rng(seed)
         share = (y.sum() + 1) / (len(y) + 2)
         self.bias, self.w, self.v = float(np.log(share / (1 - share))), np.zeros(n), rng.normal(0, 0.01, (n, FACTORS))
         if not n or len(np.unique(y)) < 2:
             return
-        gw, gv, gb = np.full(n, 1e-6), np.full((n, FACTORS), 1e-6), 1e-6
+        times = np.bincount(flat, minlength=n)
+        batches = -(-len(y) // batch)
+        # what a bucket's gradient is by chance, for each batch that touches it
+        spread = np.sqrt(share * (1 - share) * times) / (batch * np.maximum(batches * (1 - (1 - 1 / batches) ** times), 1))
+        far, start = chance_v * 0.01 * np.sqrt(len(flat) / len(y)), self.v.copy()
+        gw, gv, gb = np.full(n, damp_w), np.full((n, FACTORS), damp_v), 1e-6
         for _ in range(epochs):
             order = rng.permutation(len(y))
             for s in range(0, len(y), batch):
@@ -146,11 +140,15 @@ class FactorizationMachine:
                 touched, local = np.unique(at, return_inverse=True)
                 dw = np.bincount(local, weights=err[row]) + l2 * self.w[touched]
                 gw[touched] += dw**2
-                self.w[touched] -= rate * dw / np.sqrt(gw[touched])
+                step = rate / np.sqrt(gw[touched])
+                w = self.w[touched] - step * dw
+                self.w[touched] = np.sign(w) * np.maximum(np.abs(w) - step * chance * spread[touched], 0)
                 pull = err[row][:, None] * (sums[row] - vx)
                 dv = np.stack([np.bincount(local, weights=pull[:, f]) for f in range(FACTORS)], axis=1) + l2 * self.v[touched]
                 gv[touched] += dv**2
-                self.v[touched] -= rate * 0.1 * dv / np.sqrt(gv[touched])
+                step = rate * 0.1 / np.sqrt(gv[touched])
+                v = self.v[touched] - step * dv - start[touched]
+                self.v[touched] = start[touched] + np.sign(v) * np.maximum(np.abs(v) - step * far * spread[touched, None], 0)
                 db = err.sum()
                 gb += db**2
                 self.bias -= rate * db / np.sqrt(gb)
