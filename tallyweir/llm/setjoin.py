@@ -7,24 +7,30 @@ DivideSkip: of a document's a inverted lists the T-COMMON longest are set aside,
 that every partner occurs at least COMMON times in the lists that remain (all of
 its times, where T is smaller).  Those short lists are merged by a shuffle on the
 shingle; the lists set aside are probed afterwards, by binary search in the
-candidate's sorted set, for the full overlap.  Which lists are long is decided by one order for the whole corpus:
-shingles that are frequent (at most 2**20 of them, by counts that every task
-gathers) come last by count, all others by hash.
+candidate's sorted set, for the full overlap.  Which lists are long is decided by
+one order for the whole corpus: by the magnitude of the number of documents that
+have the shingle, from a sketch of all shingles of all documents, then by hash.
+The sketch is never too low, so a shingle that it counts once is in no second
+document and its list is left out at once.  The sketch holds at most 2**29 cells;
+on corpora of many more shingles it tells small counts apart less well, which
+costs time and never a link.
 
 Merging a list of k documents emits no k*k pairs.  Sets that are equal are one
 set from the start.  Each list first proposes two hubs, and every document is compared
 to two of those its lists propose; links found make components, and afterwards only pairs of members
 in different components remain to be compared: members outside a list's largest
-component against the rest, pairs with too few common short lists left out, the
-nearest pair of two components first.  A pair inside one component cannot change
+component first against drawn members of it, then, where still apart, against the
+rest, pairs with too few common short lists left out, the nearest pair of two
+components first.  A pair inside one component cannot change
 the result.  Lists carry ids, sizes and the signatures of up to
 SIGNATURE words; wider ones are fetched for the pairs that remain.  Parity signatures of half a bit and more for each shingle (512 at
 least), whose distance never exceeds the true set difference, rule pairs out before their sets are fetched.
 
 Results: ``components`` gives one row per document.  Null or empty texts and
 texts without words have no shingles and link with nothing; fewer words than a
-shingle make one shingle of the whole.  Rows of equal id are one document whose
-set is their union of links; null ids get a null component and link nothing.
+shingle make one shingle of the whole.  Rows of equal id are one document that
+has the links of all its texts; each row keeps its own n_shingles.  Null ids get
+a null component and link nothing.  Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -39,17 +45,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyweir.llm.common import discard, table, written
-from tallyweir.llm.sketch import Bitmap, sketch
+from tallyweir.llm.sketch import Bitmap, Frequencies, frequencies, sketch
 from tallyweir.llm.wordhash import WordHasher, pieces, run_documents, run_hashes, table_map
 
 SHINGLE, PERCENT = 4, 85
 SIGNATURE = 8  # 64-bit words
 #: Short lists that linked documents have in common at least.
 COMMON = 4
-#: Frequent shingles that are kept apart at most (16 bytes each), and the least count of one.
-MAX_FREQUENT, LEAST_FREQUENT = 1 << 20, 64
-#: A task reports shingles that at least so many of its last million words' documents share.
-LOCAL_COUNT = 3
+#: For the sketch's size only.
+CHARACTERS_PER_WORD = 6
+#: Times that documents outside a list's largest component are compared to a member of it, before all that is left is.
+ROUNDS = 3
 
 
 def _sets(h: np.ndarray, ends: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -72,28 +78,12 @@ def _sets(h: np.ndarray, ends: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarr
     return doc, shingles
 
 
-def _local_counts(k: int):
-    def run(batches):
-        hasher = WordHasher(lower=True)
-        for _, h, ends in pieces(batches, hasher):
-            s, n = np.unique(_sets(h, ends, k)[1], return_counts=True)
-            often = n >= LOCAL_COUNT
-            if often.any():
-                yield {"_s": pa.array(s[often].view(np.int64)), "_n": pa.array(n[often].astype(np.int64))}
-
-    return table_map(run)
+def _shingles(k: int):
+    def entries(batches):
+        for _, h, ends in pieces(batches, WordHasher(lower=True)):
+            yield _sets(h, ends, k)[1]
 
-
-def frequent_shingles(rows: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, counts), sorted by hash, of at most MAX_FREQUENT shingles."""
-    counts = written(rows.select("_text").mapInArrow(_local_counts(k), "_s long, _n long").groupBy("_s").agg(F.sum("_n").alias("_n")), "shingle-counts")
-    words = rows.agg(F.sum(F.length("_text"))).first()[0] or 0
-    # counts add up to less than half the characters, so fewer than MAX_FREQUENT reach this
-    least = max(LEAST_FREQUENT, words // 2 // MAX_FREQUENT)
-    got = counts.where(F.col("_n") >= least).toPandas()
-    s = got["_s"].to_numpy(dtype=np.int64).view(np.uint64)
-    order = np.argsort(s)
-    return s[order], got["_n"].to_numpy(dtype=np.int64)[order]
+    return entries
 
 
 def short_lists(n: int | np.ndarray, percent: int) -> int | np.ndarray:
@@ -101,19 +91,18 @@ def short_lists(n: int | np.ndarray, percent: int) -> int | np.ndarray:
     return np.minimum(n - (-(-percent * n // 100)) + COMMON, n)
 
 
-def _profiles(k: int, percent: int, frequent):
+def _profiles(k: int, percent: int, seen: Frequencies):
     def run(batches):
-        hasher, (hot, hot_n) = WordHasher(lower=True), frequent.value
+        hasher = WordHasher(lower=True)
         for batch, h, ends in pieces(batches, hasher):
             doc, s = _sets(h, ends, k)
-            at = np.searchsorted(hot, s) if len(hot) else np.zeros(len(s), dtype=np.int64)
-            rank = np.where(hot[np.minimum(at, len(hot) - 1)] == s, hot_n[np.minimum(at, len(hot) - 1)], 0) if len(hot) else np.zeros(len(s), dtype=np.int64)
+            often = seen.of(s)
             n = np.bincount(doc, minlength=len(ends) - 1)
             start = np.concatenate(([0], np.cumsum(n)))
-            # sorted by hash within each document already; frequent ones move to its end
-            order = np.argsort((doc << 40) + np.minimum(rank, (1 << 40) - 1), kind="stable")
+            # sorted by hash within each document already
+            order = np.argsort((doc << 4) + often, kind="stable")
             inside = np.arange(len(s)) - start[doc]
-            short = order[inside < short_lists(n, percent)[doc]]
+            short = order[(inside < short_lists(n, percent)[doc]) & (often[order] > 0)]
             short_n = np.bincount(doc[short], minlength=len(n))
             # bits of the signature: SIGNATURE words for sets of up to 1024, twice as many for twice the size
             wide = SIGNATURE << np.maximum(np.ceil(np.log2(np.maximum(n, 1) / 1024)), 0).astype(np.int64)
@@ -244,6 +233,22 @@ def _linked(pairs: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFram
     return found
 
 
+def _mixed_lists(shared: DataFrame, labels: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+    """Members of lists with their components, and of each list with several its largest (_main) with a member (_hub) drawn anew each turn."""
+    listed = shared.select("_s", F.col("_d").alias("_id"), F.col("_dn").alias("_n")).join(labels, "_id", "left").select("_s", "_id", "_n", F.coalesce("_label", "_id").alias("_label"))
+    listed = written(listed, "listed")
+    drawn = F.min(F.struct(F.xxhash64("_id", "_s", F.lit(turn)).alias("_hash"), "_id"))["_id"].alias("_hub")
+    sizes = listed.groupBy("_s", "_label").agg(F.count("*").alias("_k"), drawn)
+    mixed = sizes.groupBy("_s").agg(F.max(F.struct("_k", "_label", "_hub")).alias("_m"), F.count("*").alias("_labels")).where("_labels > 1")
+    return listed, mixed.select("_s", F.col("_m._label").alias("_main"), F.col("_m._hub").alias("_hub"))
+
+
+def _twins(members: DataFrame) -> DataFrame:
+    """(_x, _y) between the classes of equal sets that one id's rows are in."""
+    first = members.groupBy("_id").agg(F.min("_rep").alias("_x"), F.count("*").alias("_k")).where("_k > 1").select("_id", "_x")
+    return members.join(first, "_id").where("_rep <> _x").select("_x", F.col("_rep").alias("_y")).distinct()
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """(_id, _label): least id reachable, for every id in ``edges`` (_x, _y)."""
     both = edges.unionByName(edges.select(F.col("_y").alias("_x"), F.col("_x").alias("_y"))).distinct()
@@ -266,10 +271,11 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
     kind = rows.schema["_id"].dataType
-    frequent = spark.sparkContext.broadcast(frequent_shingles(rows, shingle))
+    words = (rows.agg(F.sum(F.length("_text"))).first()[0] or 0) / CHARACTERS_PER_WORD
+    seen = frequencies(rows.select("_text"), _shingles(shingle), words)
     longs = T.ArrayType(T.LongType())
     schema = T.StructType([T.StructField("_id", kind), T.StructField("_n", T.LongType()), T.StructField("_digest", T.BinaryType()), T.StructField("_sig", longs), T.StructField("_short", longs)])
-    profiles = written(rows.mapInArrow(_profiles(shingle, percent, frequent), schema), "profiles")
+    profiles = written(rows.mapInArrow(_profiles(shingle, percent, seen), schema), "profiles")
 
     named = profiles.where("_id is not null and _n > 0")
     same = written(named.groupBy("_digest", "_n").agg(F.min("_id").alias("_rep")), "equal-sets")
@@ -301,18 +307,26 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         return signatures.select(F.col("_id").alias(f"_{name}"), F.col("_n").alias(f"_{name}n"), F.col("_sig").alias(f"_{name}sig"))
 
     proposed = proposed.join(side("x"), "_x").join(side("y"), "_y").where(_may_link("_x", "_y", percent)).select("_x", "_y").distinct()
-    links = _linked(proposed, rows, shingle, percent)
+    links = _linked(proposed, rows, shingle, percent).unionByName(_twins(members))
     labels = connected(links)
 
-    # members of one list in different components: those outside its largest component against all
-    listed = shared.select("_s", F.col("_d").alias("_id"), F.col("_dn").alias("_n")).join(labels, "_id", "left").select("_s", "_id", "_n", F.coalesce("_label", "_id").alias("_label"))
-    listed = written(listed, "listed")
-    sizes = listed.groupBy("_s", "_label").agg(F.count("*").alias("_k"))
-    mixed = sizes.groupBy("_s").agg(F.max(F.struct("_k", "_label"))["_label"].alias("_main"), F.count("*").alias("_labels")).where("_labels > 1").select("_s", "_main")
+    # members outside a list's largest component are compared to one member of it for each list, others in each round
+    for turn in range(ROUNDS):
+        listed, mixed = _mixed_lists(shared, labels, turn)
+        outside = listed.join(mixed.hint("merge"), "_s").where("_label <> _main").select(F.least("_id", "_hub").alias("_x"), F.greatest("_id", "_hub").alias("_y")).distinct()
+        outside = outside.join(side("x"), "_x").join(side("y"), "_y").where(_may_link("_x", "_y", percent)).select("_x", "_y").distinct()
+        found = _linked(outside, rows, shingle, percent)
+        if not found.limit(1).count():
+            break
+        links = links.unionByName(found)
+        labels = connected(links)
+
+    # what is still in different components: those outside a list's largest component against all
+    listed, mixed = _mixed_lists(shared, labels, 0)
     # shuffled once for both sides
     narrow = signatures.where(F.size("_sig") == SIGNATURE)
     signed = listed.join(narrow.hint("merge"), ["_id", "_n"], "left").repartition("_s")
-    mixed = signed.join(mixed.hint("merge"), "_s")
+    mixed = signed.join(mixed.drop("_hub").hint("merge"), "_s")
     x = mixed.where("_label <> _main").select("_s", "_main", F.col("_id").alias("_x"), F.col("_label").alias("_xl"), F.col("_n").alias("_xn"), F.col("_sig").alias("_xsig"))
     y = signed.select("_s", F.col("_id").alias("_y"), F.col("_label").alias("_yl"), F.col("_n").alias("_yn"), F.col("_sig").alias("_ysig"))
     across = (F.col("_xl") != F.col("_yl")) & ((F.col("_yl") == F.col("_main")) | (F.col("_x") < F.col("_y")))
