@@ -25,10 +25,10 @@ def trailing(metrics: DataFrame, key: str, at: str, value: str, n: int = HISTORY
     """``history``: the last ``n`` non-null values of the key before each row; ``baseline``: their median."""
     before = Window.partitionBy(key).orderBy(at).rowsBetween(-n, -1)
     seen = metrics.where(F.col(value).isNotNull()).withColumn("history", F.collect_list(value).over(before))
-    return seen.withColumn("baseline", _median(F.col("history")))
+    return seen.withColumn("baseline", median_of(F.col("history")))
 
 
-def _median(xs: Column) -> Column:
+def median_of(xs: Column) -> Column:
     s, n = F.sort_array(xs), F.size(xs)
     at = lambda k: F.get(s, k.cast("int")).cast("double")
     return F.when(n > 0, (at(F.floor((n - 1) / 2)) + at(F.floor(n / 2))) / 2)
@@ -36,9 +36,9 @@ def _median(xs: Column) -> Column:
 
 def robust_z(value: Column, history: Column) -> Column:
     """Distance from the median in robust deviations; without spread the mean deviation, without that 0 or infinity."""
-    mid = _median(history)
+    mid = median_of(history)
     off = F.transform(history, lambda x: F.abs(x - mid))
-    mad, mean = _median(off), F.try_divide(F.aggregate(off, F.lit(0.0), lambda a, x: a + x), F.size(off))
+    mad, mean = median_of(off), F.try_divide(F.aggregate(off, F.lit(0.0), lambda a, x: a + x), F.size(off))
     far = F.abs(value - mid)
     same = far <= F.greatest(F.abs(value), F.abs(mid)) * 1e-9
     return F.when(mad > 0, F.try_divide(far, mad * MAD_SCALE)).when(mean > 0, F.try_divide(far, mean)).when(same, F.lit(0.0)).when(F.size(history) > 0, F.lit(float("inf")))
@@ -54,7 +54,9 @@ def shift_status(z: Column) -> Column:
 
 
 def first_seen(findings: DataFrame, key: str, run: str) -> DataFrame:
-    return findings.withColumn("first_seen", F.min(run).over(Window.partitionBy(key)))
+    """Each finding with the first run of its key and the days since."""
+    first = F.min(run).over(Window.partitionBy(key))
+    return findings.withColumns({"first_seen": first, "age": F.date_diff(run, first)})
 
 
 def finding_diff(now: DataFrame, before: DataFrame, key: str) -> DataFrame:
@@ -84,14 +86,21 @@ def reconcile(gold: DataFrame, other: DataFrame, keys: list[str], metrics: list[
     return both.withColumn("mismatch", bad)
 
 
-def arrivals(rows: DataFrame, date: str, floor: int) -> DataFrame:
-    """Every day from the first to the last date: rows, and gap, partial (fewer than ``floor``) or ok."""
+def arrivals(rows: DataFrame, date: str, floor: int, as_of: str | None = None) -> DataFrame:
+    """Every day from the first date to ``as_of`` (or the last date): rows, and gap, partial (fewer than ``floor``) or ok."""
     seen = rows.groupBy(F.col(date).alias("day")).agg(F.count("*").alias("n_rows")).where("day is not null")
-    days = seen.agg(F.min("day").alias("_a"), F.max("day").alias("_b")).where("_a is not null").select(F.explode(F.sequence("_a", "_b")).alias("day"))
+    last = F.max("day") if as_of is None else F.greatest(F.max("day"), F.lit(as_of).cast("date"))
+    days = seen.agg(F.min("day").alias("_a"), last.alias("_b")).where("_a is not null").select(F.explode(F.sequence("_a", "_b")).alias("day"))
     n = F.coalesce("n_rows", F.lit(0))
     return days.join(seen, "day", "left").select("day", n.alias("n_rows"), F.when(n == 0, "gap").when(n < floor, "partial").otherwise("ok").alias("status"))
 
 
+def arrival_lag(rows: DataFrame, date: str, as_of: str, most_days: int, keys: list[str]) -> DataFrame:
+    """By key: days from the newest date to ``as_of``, and whether they are too many."""
+    lag = F.date_diff(F.lit(as_of).cast("date"), F.max(date))
+    return rows.groupBy(*keys).agg(lag.alias("lag_days"), F.coalesce(lag > most_days, F.lit(True)).alias("late"))
+
+
 def freshness(newest: Column, as_of: Column, warn_hours: float, error_hours: float) -> Column:
     hours = (as_of.cast("double") - newest.cast("double")) / 3600
     return F.when(newest.isNull() | (hours > error_hours), "error").when(hours > warn_hours, "warn").otherwise("ok")

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tallyweir.functions.scalars import clamp_delta, date_prefix
+from tallyweir.operators.monitors import median_of
+
 
 def contract_counts(rows: DataFrame, required: list[str], key: str, accepted: dict[str, list]) -> DataFrame:
     """One row: rows, nulls of each required column, duplicates of the key, values not accepted."""
@@ -21,12 +26,23 @@ def volume_verdict(n: Column, baseline: Column) -> Column:
     return F.when(n == 0, "anomaly").when(baseline.isNull() | (baseline == 0), "no_baseline").when(off, "anomaly").otherwise("ok")
 
 
+def manifest_baseline(slices: DataFrame, days: int = 7) -> DataFrame:
+    """Slices with the median rows of the same page and hour on the days before; missing days are skipped."""
+    before = Window.partitionBy("page_type", "hour").orderBy(F.unix_date("date")).rangeBetween(-days, -1)
+    seen = slices.withColumn("_seen", F.collect_list("rows_written").over(before))
+    return seen.withColumns({"days_found": F.size("_seen").cast("long"), "baseline": median_of(F.col("_seen"))}).drop("_seen")
+
+
 def check_volume(slices: DataFrame, days: int = 7) -> DataFrame:
     """Slices (page_type, hour, date, rows_written) with the median of the same hour on earlier days."""
-    old = slices.select("page_type", "hour", F.col("date").alias("_d"), F.col("rows_written").alias("_n"))
-    near = (F.col("_d") >= F.date_sub("date", days)) & (F.col("_d") < F.col("date"))
-    base = slices.join(old, ["page_type", "hour"]).where(near).groupBy("page_type", "hour", "date").agg(F.median("_n").alias("baseline"))
-    return slices.join(base, ["page_type", "hour", "date"], "left").withColumn("status", volume_verdict(F.col("rows_written"), F.col("baseline")))
+    base = manifest_baseline(slices, days).drop("days_found")
+    return base.withColumn("status", volume_verdict(F.col("rows_written"), F.col("baseline")))
+
+
+def date_health(rows: DataFrame, column: str, keys: list[str]) -> DataFrame:
+    """By key: non-null texts that begin with no date, and the newest date."""
+    day = date_prefix(F.col(column))
+    return rows.groupBy(*keys).agg(F.count_if(F.col(column).isNotNull() & day.isNull()).alias("unparsed"), F.max(day).alias("newest"))
 
 
 def new_values(observed: DataFrame, column: str, registered: list) -> DataFrame:
@@ -35,14 +51,21 @@ def new_values(observed: DataFrame, column: str, registered: list) -> DataFrame:
 
 def run_over_run(metrics: DataFrame, key: str, at: str, value: str) -> DataFrame:
     before = F.lag(value).over(Window.partitionBy(key).orderBy(at))
-    return metrics.withColumn("previous", before).withColumn("delta", F.col(value) - before)
+    return metrics.withColumn("previous", before).withColumn("delta", clamp_delta(F.col(value), before))
 
 
 def merge_upsert(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of ``source`` replace those of ``target`` with equal keys, others are added; null keys raise."""
+    """Rows of ``source`` replace those of ``target`` with equal keys, others are added.
+
+    A source with null or repeated keys raises, so that a replay gives the same table; null keys of the target stay.
+    """
     missing = [k for k in keys if k not in source.columns or k not in target.columns]
     if missing:
         raise ValueError(f"no key column {missing}")
+    problem = F.when(F.max(functools.reduce(lambda x, y: x | y, [F.col(k).isNull() for k in keys])), "null keys").when(F.max("_n") > 1, "repeated keys")
+    found = source.groupBy(*keys).agg(F.count("*").alias("_n")).agg(problem.alias("problem")).first()["problem"]
+    if found:
+        raise ValueError(f"the source has {found}")
     kept = target.join(source.select(*keys), keys, "left_anti")
     return kept.unionByName(source)
 
@@ -50,7 +73,3 @@ def merge_upsert(target: DataFrame, source: DataFrame, keys: list[str]) -> DataF
 def delete_where(target: DataFrame, predicate: Column) -> DataFrame:
     """Rows for which the predicate is not true stay, null included."""
     return target.where(~F.coalesce(predicate, F.lit(False)))
-
-
-def as_of(versions: DataFrame, version: int) -> DataFrame:
-    return versions.where((F.col("valid_from") <= version) & (F.col("valid_to").isNull() | (F.col("valid_to") > version)))

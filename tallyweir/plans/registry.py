@@ -2,107 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
-from tallyweir.operators import analyses as an
-from tallyweir.operators import dashboards as db
-from tallyweir.operators import rules
-from tallyweir.plans import more
-from tallyweir.sources.models import CONVERSATION_SQL, IMPRESSIONS_SQL, conversation_events, funnel_events, impressions, table
+from tallyweir.plans import checks, events, more, search, serving
 
 QUERIES: dict = {}
 ORACLES: dict = {}
 
-_I, _C = f"WITH {IMPRESSIONS_SQL}", f"WITH {CONVERSATION_SQL}"
-
-
-def _pct(n: str, d: str) -> str:
-    return f"round((({n})::DECIMAL(20,4) * 100)::DECIMAL(30,4)::DOUBLE / nullif({d}, 0), 2)"
-
-
-def _mean(n: str, d: str) -> str:
-    return f"round(({n})::DOUBLE / ({d}), 4)"
-
-
-def _add(name: str, query, sql: str | None = None) -> None:
-    QUERIES[name] = query
-    if sql:
-        ORACLES[name] = sql
-
-
-def _agg(s, d):
-    return an.impressions_aggregated(funnel_events(s, d))
-
-
-def _slices(s, d):
-    return impressions(s, d).groupBy("page_type", "hour", "date").agg(F.count("*").alias("rows_written"))
-
-
-def _users(s, d):
-    c, n = table(s, d, "customer"), table(s, d, "nation")
-    return c.join(n, c["c_nationkey"] == n["n_nationkey"]).where("c_custkey % 50 <> 0").select(F.col("c_custkey").cast("string").alias("user_id"), F.col("c_mktsegment").alias("segment"), F.col("n_name").alias("country"))
-
-
-def _staged(s, d):
-    o = table(s, d, "orders")
-    day = F.when(F.col("o_orderkey") % 97 == 0, "NOPE").when(F.col("o_orderkey") % 89 == 0, "2026-13-40").otherwise(F.to_date("o_orderdate").cast("string"))
-    return o.select("o_orderkey", day.alias("raw"))
-
-
-_SUMMARY = ", ".join(["count(*) AS impressions", "count(DISTINCT user_id) AS users", _mean("sum(distinct_events)", "count(*)") + " AS avg_depth", "max(distinct_events) AS max_depth", _mean("sum(last_second - first_second)", "count(*)") + " AS avg_duration"] + [f"count(*) FILTER (WHERE max_stage >= '{x}') AS reaching_{x}" for x in "def"] + [_pct(f"count(*) FILTER (WHERE max_stage >= '{x}')", "count(*)") + f" AS pct_reaching_{x}" for x in "def"])
-_TOP = "cnt AS (SELECT user_id, page_type, count(*) AS n FROM agg GROUP BY ALL), top AS (SELECT user_id, page_type AS top_page, n AS top_page_count FROM cnt QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC, page_type) = 1)"
-_SLICES = "sl AS (SELECT page_type, hour, date, count(*) AS rows_written FROM imp GROUP BY ALL)"
-_FUNNEL = "st AS (SELECT page_type, event_type, count(DISTINCT impression_id) AS impressions FROM fun GROUP BY ALL), tt AS (SELECT page_type, count(DISTINCT impression_id) AS total FROM fun GROUP BY ALL)"
-
-_add("a1_impressions_aggregated", _agg, f"{_I} SELECT * FROM agg")
-_add("a2_hour_aggregate", lambda s, d: an.hour_aggregate(impressions(s, d), "2000-10-21", 19), f"{_I} SELECT user_id, impression_id, page_type, count(*) AS event_count, count(DISTINCT event_type) AS distinct_events, min(second) AS first_second, max(second) AS last_second FROM imp WHERE date = DATE '2000-10-21' AND hour = 19 GROUP BY ALL")
-_add("a3_funnel", lambda s, d: an.funnel(funnel_events(s, d)), f"{_I}, {_FUNNEL} SELECT page_type, event_type, impressions, total, {_pct('impressions', 'total')} AS pct_of_total, {_pct('impressions', 'lag(impressions) OVER (PARTITION BY page_type ORDER BY event_type)')} AS pct_from_previous FROM st JOIN tt USING (page_type)")
-_add("a4_page_type_summary", lambda s, d: an.page_type_summary(_agg(s, d)), f"{_I} SELECT page_type, {_SUMMARY} FROM agg GROUP BY page_type")
-_add("a5_user_engagement", lambda s, d: an.user_engagement(_agg(s, d)), f"{_I}, {_TOP} SELECT user_id, impressions, pages, avg_depth, max_depth, events, first_seen, last_seen, top_page, top_page_count FROM (SELECT user_id, count(*) AS impressions, count(DISTINCT page_type) AS pages, {_mean('sum(distinct_events)', 'count(*)')} AS avg_depth, max(distinct_events) AS max_depth, sum(event_count)::BIGINT AS events, min(date) AS first_seen, max(date) AS last_seen FROM agg GROUP BY user_id) JOIN top USING (user_id)")
-_add("a6_hourly_traffic", lambda s, d: an.hourly_traffic(_agg(s, d)), f"{_I} SELECT date, hour, page_type, count(*) AS impressions, count(DISTINCT user_id) AS users, {_mean('sum(distinct_events)', 'count(*)')} AS avg_depth, count(*) FILTER (WHERE max_stage >= 'd') AS reaching_d, {_pct(chr(99) + 'ount(*) FILTER (WHERE max_stage >= ' + repr('d') + ')', 'count(*)')} AS pct_reaching_d FROM agg GROUP BY ALL")
-_add("w2_top_page_per_user", lambda s, d: an.top_page_per_user(_agg(s, d)), f"{_I}, {_TOP} SELECT * FROM top")
-_add("f2_top_engaged_users", lambda s, d: an.top_engaged_users(_agg(s, d), 5, 100), f"{_I} SELECT user_id, count(*) AS impressions FROM agg GROUP BY user_id HAVING count(*) >= 5 ORDER BY impressions DESC, user_id LIMIT 100")
-_add("s5_list_partitions", lambda s, d: impressions(s, d).select("page_type", "date", "hour").distinct(), f"{_I} SELECT DISTINCT page_type, date, hour FROM imp")
-_add("s14_filter_sink_rows", lambda s, d: impressions(s, d).where("event_type >= 'd'"), f"{_I} SELECT * FROM imp WHERE event_type >= 'd'")
-_add("p1_safe_date", lambda s, d: _staged(s, d).select("o_orderkey", F.when(F.col("raw").rlike(r"^\d{4}-\d{2}-\d{2}$"), F.expr("try_to_date(raw)")).alias("day")), "SELECT o_orderkey, CASE WHEN o_orderkey % 97 = 0 OR o_orderkey % 89 = 0 THEN NULL ELSE o_orderdate::DATE END AS day FROM orders")
-_add("p17_tokenize", lambda s, d: table(s, d, "documents").select("doc_id", F.size(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9']+"), F.lit(0))).cast("long").alias("n_tokens")), "SELECT doc_id, len(regexp_extract_all(lower(text), '[a-z0-9'']+'))::BIGINT AS n_tokens FROM documents")
-_add("p18_content_hash", lambda s, d: table(s, d, "documents").select("doc_id", F.substring(F.sha2("text", 256), 1, 16).alias("content_hash")), "SELECT doc_id, substr(sha256(text), 1, 16) AS content_hash FROM documents")
-_add("j1_enrich_users", lambda s, d: impressions(s, d).join(_users(s, d), "user_id", "left").groupBy("segment", "page_type").agg(F.count("*").alias("events")), f"{_I}, us AS (SELECT c_custkey::VARCHAR AS user_id, c_mktsegment AS segment FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 50 <> 0) SELECT segment, page_type, count(*) AS events FROM imp LEFT JOIN us USING (user_id) GROUP BY ALL")
-_add("j2_enrich_salted", lambda s, d: an.enrich_salted(impressions(s, d), _users(s, d), "user_id").groupBy("country").agg(F.count("*").alias("events")), f"{_I}, us AS (SELECT c_custkey::VARCHAR AS user_id, n_name AS country FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 50 <> 0) SELECT country, count(*) AS events FROM imp LEFT JOIN us USING (user_id) GROUP BY ALL")
-_add("j10_missing_periods", lambda s, d: an.missing_periods(_slices(s, d).where("page_type = 1 and hour = 3")), f"{_I}, dd AS (SELECT DISTINCT date FROM imp WHERE page_type = 1 AND hour = 3) SELECT g::DATE AS date FROM (SELECT unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS g FROM dd) WHERE g::DATE NOT IN (SELECT date FROM dd)")
-_add("w3_deduplicate_latest", lambda s, d: an.deduplicate_latest(table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate", "l_partkey", "l_suppkey"), ["l_orderkey", "l_linenumber"], [F.desc("l_shipdate"), F.asc("l_partkey"), F.asc("l_suppkey")]), "SELECT l_orderkey, l_linenumber, l_shipdate, l_partkey, l_suppkey FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate DESC, l_partkey, l_suppkey) = 1")
-_add("a8_tenant_dashboard", lambda s, d: db.tenant_dashboard(conversation_events(s, d), "acct_0003", "2000-01-01", "2100-01-01"), f"{_C} SELECT event_ts::DATE AS day, count(*) AS events, count(*) FILTER (WHERE event_type = 'conversation_started') AS started, count(*) FILTER (WHERE event_type = 'resolution') AS resolved, count(*) FILTER (WHERE event_type = 'escalation') AS escalated, round((count(*) FILTER (WHERE event_type = 'escalation'))::DOUBLE / nullif(count(*) FILTER (WHERE event_type = 'conversation_started'), 0), 4) AS escalation_rate, round(quantile_cont(latency_ms, 0.95) FILTER (WHERE event_type = 'agent_response'), 4) AS p95_latency FROM conv WHERE account_id = 'acct_0003' GROUP BY ALL")
-_add("a9_platform_health", lambda s, d: db.platform_health(conversation_events(s, d)), f"{_C} SELECT event_ts::DATE AS day, count(*) FILTER (WHERE event_type = 'conversation_started') AS started, count(*) FILTER (WHERE event_type = 'escalation') AS escalated, round(quantile_cont(latency_ms, 0.99) FILTER (WHERE event_type = 'agent_response'), 4) AS p99_latency FROM conv GROUP BY ALL")
-_add("a10_slow_responses", lambda s, d: db.slow_responses(conversation_events(s, d)), f"{_C} SELECT model, channel, count(*) AS slow, round(quantile_cont(latency_ms, 0.99), 4) AS p99_latency FROM conv WHERE event_type = 'agent_response' AND latency_ms > 5000 GROUP BY ALL")
-_add("a11_top_intents", lambda s, d: db.top_intents(conversation_events(s, d), "acct_0003"), f"{_C} SELECT intent, count(*) AS events, count(*) FILTER (WHERE event_type = 'escalation') AS escalations FROM conv WHERE account_id = 'acct_0003' GROUP BY ALL ORDER BY events DESC, intent LIMIT 20")
-_add("a15_rollup_daily_sums", lambda s, d: db.daily_state(conversation_events(s, d)).drop("latency_sketch"), f"{_C} SELECT account_id, event_ts::DATE AS day, count(*) AS events, count(*) FILTER (WHERE event_type = 'conversation_started') AS started, count(*) FILTER (WHERE event_type = 'escalation') AS escalated, (sum(latency_ms) FILTER (WHERE event_type = 'agent_response'))::BIGINT AS latency_sum, count(*) FILTER (WHERE event_type = 'agent_response') AS responses FROM conv GROUP BY ALL")
-_add("a18_merge_rollup_states", lambda s, d: db.merge_states(db.daily_state(conversation_events(s, d)), ["account_id"]).drop("latency_sketch"), f"{_C} SELECT account_id, count(*) AS events, count(*) FILTER (WHERE event_type = 'conversation_started') AS started, count(*) FILTER (WHERE event_type = 'escalation') AS escalated, (sum(latency_ms) FILTER (WHERE event_type = 'agent_response'))::BIGINT AS latency_sum, count(*) FILTER (WHERE event_type = 'agent_response') AS responses, (sum(latency_ms) FILTER (WHERE event_type = 'agent_response'))::BIGINT / nullif(count(*) FILTER (WHERE event_type = 'agent_response'), 0) AS mean_latency FROM conv GROUP BY ALL")
-_add("a23_two_phase_distinct", lambda s, d: an.two_phase_distinct(impressions(s, d), "page_type", "user_id"), f"{_I} SELECT page_type, count(DISTINCT user_id) AS distinct_values FROM imp GROUP BY ALL")
-_add("f4_conversation_lookup", lambda s, d: db.conversation_lookup(conversation_events(s, d), "7:2024-01-05"), f"{_C} SELECT event_id, event_ts, event_type, latency_ms FROM conv WHERE conversation_id = '7:2024-01-05'")
-_add("q4_check_volume", lambda s, d: rules.check_volume(_slices(s, d)), f"{_I}, {_SLICES}, bb AS (SELECT a.page_type, a.hour, a.date, median(b.rows_written) AS baseline FROM sl a JOIN sl b ON a.page_type = b.page_type AND a.hour = b.hour AND b.date >= a.date - 7 AND b.date < a.date GROUP BY ALL) SELECT sl.page_type, sl.hour, sl.date, rows_written, baseline, CASE WHEN rows_written = 0 THEN 'anomaly' WHEN baseline IS NULL OR baseline = 0 THEN 'no_baseline' WHEN rows_written < baseline * 0.5 OR rows_written > baseline * 2 THEN 'anomaly' ELSE 'ok' END AS status FROM sl LEFT JOIN bb USING (page_type, hour, date)")
-_add("q9_contract_counts", lambda s, d: rules.contract_counts(impressions(s, d), ["user_id", "date"], "impression_id", {"event_type": list("abcdef")}), f"{_I} SELECT count(*) AS n_rows, count(*) FILTER (WHERE user_id IS NULL) AS null_user_id, count(*) FILTER (WHERE date IS NULL) AS null_date, count(impression_id) - count(DISTINCT impression_id) AS duplicate_keys, count(*) FILTER (WHERE event_type NOT IN ('a','b','c','d','e','f')) AS bad_event_type FROM imp")
-_add("q31_enum_drift", lambda s, d: rules.new_values(impressions(s, d), "event_type", list("abcdef")), f"{_I} SELECT DISTINCT event_type FROM imp WHERE event_type > 'f'")
-_add("v1_merge_upsert", lambda s, d: rules.merge_upsert(table(s, d, "orders").where("o_orderkey % 3 <> 0").select("o_orderkey", F.lit("old").alias("state")), table(s, d, "orders").where("o_orderkey % 2 = 0").select("o_orderkey", F.lit("new").alias("state")), ["o_orderkey"]), "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'new' ELSE 'old' END AS state FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 <> 0")
-_add("v2_delete_where", lambda s, d: rules.delete_where(table(s, d, "orders").select("o_orderkey", "o_orderstatus"), F.col("o_orderstatus") == "F"), "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus <> 'F' OR o_orderstatus IS NULL")
-
-
-QUERIES.update(more.QUERIES)
-ORACLES.update(more.ORACLES)
-
-#: Columns of type date, given as text on both sides.
-_DATES = {
-    "date": ("a1_impressions_aggregated", "a6_hourly_traffic", "s5_list_partitions", "s14_filter_sink_rows", "j10_missing_periods", "q4_check_volume"),
-    "day": ("p1_safe_date", "a8_tenant_dashboard", "a9_platform_health", "a15_rollup_daily_sums"),
-    "first_seen": ("a5_user_engagement",),
-    "last_seen": ("a5_user_engagement",),
-}
-
-
-def _as_text(query, column: str):
-    return lambda s, d: query(s, d).withColumn(column, F.col(column).cast("string"))
-
-
-for _column, _names in _DATES.items():
-    for _name in _names:
-        QUERIES[_name] = _as_text(QUERIES[_name], _column)
-        ORACLES[_name] = f"SELECT * REPLACE ({_column}::VARCHAR AS {_column}) FROM ({ORACLES[_name]})"
+for _found in (events.FOUND, serving.FOUND, more.FOUND, checks.FOUND, search.FOUND):
+    if twice := QUERIES.keys() & _found.queries.keys():
+        raise ValueError(f"queries {sorted(twice)} are there twice")
+    QUERIES.update(_found.queries)
+    ORACLES.update(_found.oracles)

@@ -82,3 +82,13 @@ def latest_versions(rows: DataFrame, keys: list[str]) -> DataFrame:
     """The row of the newest batch for each key."""
     last = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("batch_id")))
     return rows.withColumn("_k", last).where("_k = 1").drop("_k", "batch_id")
+
+
+def dedup_table(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One row of each whole sort key, at read or compaction; exact where appends were repeated."""
+    return rows.dropDuplicates(keys)
+
+
+def backfilled(view: DataFrame, older: DataFrame, state: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """A state table with the states of rows that are older than it, made by the same aggregation."""
+    return view.unionByName(state(older))

@@ -28,7 +28,7 @@ def test_funnel(events):
 def test_summary_and_engagement(events):
     agg = an.impressions_aggregated(events)
     two = an.page_type_summary(agg).where("page_type = 2").first()
-    assert (two.impressions, two.users, two.avg_depth, two.max_depth, two.avg_duration, two.reaching_d) == (3, 2, 3.6667, 5, 2.6667, 2)
+    assert (two.impressions, two.users, two.avg_depth, two.max_depth, two.avg_duration, two.reaching_d) == (3, 2, 3.67, 5, 2.67, 2)
     users = {r.user_id: r for r in an.user_engagement(agg).collect()}
     assert (users["u1"].events, users["u1"].top_page, users["u1"].top_page_count) == (13, 1, 2)
     assert (users["u3"].top_page, users["u3"].top_page_count) == (2, 1)
@@ -48,5 +48,19 @@ def test_upsert_replays(spark):
     twice = rules.merge_upsert(once, new, ["k"])
     assert sorted(map(tuple, twice.collect())) == [(1, "a"), (2, "c"), (3, "d")]
     assert rules.delete_where(once, F.col("v") == "a").count() == 2
+    for source in (spark.createDataFrame([(None, "x")], "k int, v string"), new.unionByName(new)):
+        with pytest.raises(ValueError):
+            rules.merge_upsert(old, source, ["k"])
     with pytest.raises(ValueError):
         rules.merge_upsert(old, new, ["missing"])
+    with_null = spark.createDataFrame([(None, "n"), (1, "a")], "k int, v string")
+    assert rules.merge_upsert(with_null, new, ["k"]).count() == 4  # null keys of the target stay
+
+
+def test_unknown_strategies_raise(events, spark):
+    users = spark.createDataFrame([("u1", "x")], "user_id string, segment string")
+    with pytest.raises(ValueError):
+        an.enrich(events, users, "user_id", "magic")
+    with pytest.raises(ValueError):
+        an.enrich_salted(events, users, "user_id", how="right")
+    assert an.enrich(events, users, "user_id", "salted").columns[0] == "user_id"

@@ -35,8 +35,11 @@ def test_versions_roll_back_and_expire(spark):
     back = ve.rolled_back(rows, 2, 10)
     state = lambda n: sorted(r.v for r in ve.as_of(back, n).collect())
     assert (state(2), state(7), state(10)) == (["a"], ["b", "c"], ["a"])
-    assert sorted(r.v for r in ve.expired(rows, 6, 7, keep=1).collect()) == ["b", "c"]
-    assert ve.expired(rows, 6, 7).count() == 3
+    snapshots = spark.createDataFrame([(n, f"2026-01-0{n}") for n in (1, 5, 7)], "version long, day string").selectExpr("version", "cast(day as timestamp_ntz) as committed_at")
+    assert sorted(r.v for r in ve.expired(rows, snapshots, 6, keep=1).collect()) == ["b", "c"]
+    assert ve.expired(rows, snapshots, 6).count() == 3
+    assert ve.as_of_time(rows, snapshots, "1999-01-01").count() == 0
+    assert sorted(r.v for r in ve.as_of_time(rows, snapshots, "2026-01-06").collect()) == ["b"]
 
 
 def test_retrieval(spark):
