@@ -5,8 +5,9 @@ documents: characters by class, and common words (a share of ``COMMON`` or more)
 with all others as one bin.  Tasks report the count of every word, and only the
 sums over all documents are compared with ``COMMON``, so that references depend
 neither on the order of the rows nor on their partitions.  A document is compared with the references of its
-``lang``, or with the nearest of all references where ``lang`` is null or has none,
-by the Jensen-Shannon distance (base 2, 0 to 1).  Short texts stray from any
+``lang``, or with the nearest of all references where ``lang`` is null or has none
+(a language has one if it holds ``LANGUAGE`` or more of all words, so that there are
+1 / LANGUAGE at most, however dirty the column is), by the Jensen-Shannon distance (base 2, 0 to 1).  Short texts stray from any
 reference by chance, hence each distance is only used from a least length on and
 its limit is widened by a term that falls with the square root of the length.
 
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,7 @@ from pyspark.sql import types as T
 from tallyweir.llm.common import table, written
 
 CLASSES = ("lower", "upper", "letter beyond ASCII", "digit", "white space", "punctuation", "symbol", "other")
-COMMON = 0.002
+COMMON, LANGUAGE = 0.002, 0.0002
 #: Least lengths, limits, and the widening for a text of one character or word.
 LEAST_CHARS, CHAR_LIMIT, CHAR_WIDEN = 100, 0.2, 1.0
 LEAST_WORDS, WORD_LIMIT, WORD_WIDEN = 40, 0.3, 1.0
@@ -50,7 +52,9 @@ def _class_of(code: int) -> int:
     return 2 if c.isalpha() else 3 if c.isdigit() else 4 if c.isspace() else 5 if c in "‘’“”–—…¿¡«»" else 7
 
 
+#: Classes of the code points in most texts; others are looked up one by one.
 _TABLE = np.array([_class_of(k) for k in range(0x3000)], dtype=np.uint8)
+_far_class = lru_cache(maxsize=1 << 16)(_class_of)
 _SPACE = np.zeros(128, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _SYMBOL = np.zeros(128, dtype=bool)
@@ -58,7 +62,11 @@ _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 
 
 def class_counts(codes: np.ndarray) -> np.ndarray:
-    return np.bincount(_TABLE[np.minimum(codes, len(_TABLE) - 1)], minlength=len(CLASSES))
+    near = codes < len(_TABLE)
+    if near.all():
+        return np.bincount(_TABLE[codes], minlength=len(CLASSES))
+    far, n = np.unique(codes[~near], return_counts=True)
+    return class_counts(codes[near]) + np.bincount([_far_class(int(c)) for c in far], weights=n, minlength=len(CLASSES)).astype(np.int64)
 
 
 def repeated_words(words: list[bytes], k: int = 5) -> int:
@@ -122,6 +130,8 @@ def language_references(docs: DataFrame, lang: str = "lang", text: str = "text")
     parts = rows.mapInArrow(_reference_parts, "lang string, kind string, key string, n long")
     sums = written(parts.groupBy("lang", "kind", "key").agg(F.sum("n").alias("n")), "word-counts")  # read twice
     total = sums.where("kind = 'n'").select("lang", F.col("n").alias("total"))
+    everything = total.agg(F.sum("total")).first()[0] or 0
+    total = total.where(F.col("total") >= everything * LANGUAGE)
     # at most 1 / COMMON words and len(CLASSES) + 1 other rows of each language
     sums = sums.join(total, "lang").where((F.col("kind") != "w") | (F.col("n") >= F.col("total") * COMMON))
     found: dict[str, dict] = {}
@@ -186,7 +196,7 @@ def judge(text: str | None, lang: str | None, references: dict) -> tuple:
 
 
 def apply_quality_rules(docs: DataFrame, references: dict, text: str = "text", lang: str = "lang", out: str = "rules") -> DataFrame:
-    """``docs`` with a struct ``out`` of ``RESULT``."""
+    """``docs`` with a struct ``out`` of ``RESULT`` (replaced if there is a column of that name)."""
     shared = docs.sparkSession.sparkContext.broadcast(references)
 
     @F.pandas_udf(RESULT)
