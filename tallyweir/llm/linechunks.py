@@ -7,12 +7,14 @@ depend on the lines around them alone and move along with inserted text, and
 every chunk but a text's last has two lines or more.  Chunks of two lines or
 more, of which one at least holds a word (the others may be blank, as between
 paragraphs), are compared across the whole corpus: by a 64-bit hash first, and those whose hash occurs again byte by byte.  The first place (by
-document id, then line) keeps a repeated chunk, the others lose it.
+document id, then line, then a hash of the text) keeps a repeated chunk, the
+others lose it.
 
 Null texts have no lines and stay null; an empty text is one empty line.  Rows
 of equal id and text are one document and share its result; a null id sorts
 before all others.  Empty tables give empty results.  Only the columns named
-are read, other columns pass through whatever their names.
+are read, other columns pass through whatever their names, but for ``_n_lines``
+and ``_n_removed``, which are replaced.
 """
 
 from __future__ import annotations
@@ -63,7 +65,7 @@ def repeated_chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     candidates = rows.join(ranges.hint("merge"), match).select("_id", "_t", "_text", F.explode("_of").alias("_c"))
     part = F.slice(F.split("_text", "\n", -1), F.col("_c._start") + 1, F.col("_c._end") - F.col("_c._start"))
     candidates = written(candidates.select("_id", "_t", "_c.*", F.array_join(part, "\n").alias("_chunk")), "line-chunks")
-    place = F.struct("_id", "_start")
+    place = F.struct("_id", "_start", "_t")
     first = candidates.groupBy("_chunk").agg(F.min(place).alias("_first"), F.max(place).alias("_last")).where("_first != _last")
     first = written(first.drop("_last"), "line-firsts")
     lost = candidates.join(first, "_chunk").where(~place.eqNullSafe(F.col("_first")))
@@ -73,14 +75,15 @@ def repeated_chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", divisor: int = DIVISOR) -> DataFrame:
     """``docs`` with ``text`` rid of repeated chunks, and ``_n_lines``, ``_n_removed``."""
     lost = repeated_chunks(docs, doc_id, text, divisor).select(F.col("_id").alias("_lost_id"), F.col("_t").alias("_lost_t"), "_ranges")
-    match = F.col("_lost_id").eqNullSafe(docs[doc_id]) & (F.col("_lost_t") == F.xxhash64(docs[text]))
-    rows = docs.join(lost.hint("merge"), match, "left").withColumn("_lines", F.split(docs[text], "\n", -1))
+    # whatever the columns are called, inside a struct they clash with none of these
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns if c != text]).alias("_row"), docs[doc_id].alias("_id"), docs[text].alias("_text"))
+    match = F.col("_lost_id").eqNullSafe(F.col("_id")) & (F.col("_lost_t") == F.xxhash64("_text"))
+    rows = rows.join(lost.hint("merge"), match, "left").withColumn("_lines", F.split("_text", "\n", -1))
     kept = F.filter("_lines", lambda x, i: ~F.exists("_ranges", lambda r: (i >= r["_start"]) & (i < r["_end"])))
     rows = rows.withColumn("_kept", F.when(F.col("_ranges").isNull(), F.col("_lines")).otherwise(kept))
-    n = F.coalesce(F.size("_lines"), F.lit(0))
-    n = F.when(F.col("_lines").isNull(), F.lit(0)).otherwise(n).cast("long")
+    n = F.when(F.col("_lines").isNull(), F.lit(0)).otherwise(F.size("_lines")).cast("long")
     removed = F.when(F.col("_lines").isNull(), F.lit(0)).otherwise(F.size("_lines") - F.size("_kept")).cast("long")
-    columns = [F.array_join("_kept", "\n").alias(text) if c == text else docs[c] for c in docs.columns]
+    columns = [F.array_join("_kept", "\n").alias(text) if c == text else F.col("_row").getField(c).alias(c) for c in docs.columns if c not in ("_n_lines", "_n_removed")]
     return rows.select(*columns, n.alias("_n_lines"), removed.alias("_n_removed"))
 
 
@@ -104,7 +107,7 @@ c AS (SELECT *, b AND NOT coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY i),
 k AS (SELECT *, coalesce(sum(cut::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk FROM c),
 g AS (SELECT doc_id, chunk, min(i) AS s, count(*) AS n, sum(regexp_matches(line, '[^\\x20\\x09-\\x0D]')::INT) AS worded,
         string_agg(line, chr(10) ORDER BY i) AS t FROM k GROUP BY doc_id, chunk),
-e AS (SELECT doc_id, chunk, row_number() OVER (PARTITION BY t ORDER BY doc_id, s) > 1 AS lost FROM g WHERE n >= 2 AND worded >= 2),
+e AS (SELECT doc_id, chunk, row_number() OVER (PARTITION BY t ORDER BY doc_id, s) > 1 AS lost FROM g WHERE n >= 2 AND worded >= 1),
 m AS (SELECT k.doc_id, k.i, k.line, coalesce(e.lost, false) AS lost FROM k LEFT JOIN e ON k.doc_id = e.doc_id AND k.chunk = e.chunk),
 o AS (SELECT doc_id, count(*) AS n_lines, sum(lost::INT)::BIGINT AS n_removed,
         coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT lost), '') AS kept FROM m GROUP BY doc_id)
