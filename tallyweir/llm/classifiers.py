@@ -11,7 +11,8 @@ never inputs of a score.
   inner products weigh pairs of terms, as an insult with a group's name.  Every
   bucket of ``LEAST_DOCUMENTS`` or more is in the machine, telling alone or not: at
   each step weights shrink towards 0, and vectors towards where they started, by
-  ``chance`` (``chance_v``) times what a bucket as frequent drifts by chance.
+  ``chance`` (``chance_v``) times what a bucket as frequent drifts by chance.  Sums are shifted so
+  that the threshold lies at the best cut of cross-validation, then squashed to scores.
 * Quality: Naive Bayes support vectors.  N-gram indicators of one and two tokens
   (words, runs of symbols, marks for capitals, repetition and repeated lines)
   are scaled by the log-ratio of their class counts; a linear hinge-loss model
@@ -49,40 +50,54 @@ def toxicity_terms(text: str | None) -> set[str]:
     return found | {w[:4] + "*" for w in found if len(w) > 4} | {w[:5] + "**" for w in found if len(w) > 5}
 
 
-def quality_ngrams(text: str | None) -> set[str]:
-    if not text:
-        return set()
-    tokens, before = [], None
-    for t in _TOKENS.findall(text):
-        low = t.lower()
-        if low == before:
-            tokens.append("\x01same")
-        elif len(t) > 1 and t.isupper():
-            tokens.append("\x01caps")
-        else:
-            tokens.append(low)
-        before = low
-    lines = [x for x in text.split("\n") if x.strip()]
-    out = set(tokens)
-    out.update(map("{} {}".format, tokens, tokens[1:]))
-    if len(lines) > len(set(lines)):
-        out.add("\x01line")
-    out.add(f"\x01length {min(len(tokens), 2000).bit_length()}")
-    return out
-
-
 def _bucket(term: str) -> int:
     return xxhash.xxh3_64_intdigest(term) >> (64 - BUCKET_BITS)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, learn: Column, terms: Callable, max_rows: int, doc_id: str = "doc_id", text: str = "text") -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
+def toxicity_buckets(text: str | None) -> np.ndarray:
+    return np.unique(np.fromiter(map(_bucket, toxicity_terms(text)), dtype=np.int32))
+
+
+class _Hashes(dict):
+    """Hash of each token by ``of``, remembered while the vocabulary stays small."""
+
+    def __init__(self, of: Callable[[str], str]):
+        self.of = of
+
+    def __missing__(self, token: str) -> int:
+        if len(self) > 1_000_000:
+            self.clear()
+        value = self[token] = xxhash.xxh3_64_intdigest(self.of(token))
+        return value
+
+
+_LOWER = _Hashes(str.lower)
+_MARKED = _Hashes(lambda t: "\x01caps" if len(t) > 1 and t.isupper() else t.lower())
+_SAME, _LINE = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in ("\x01same", "\x01line"))
+
+
+def quality_buckets(text: str | None) -> np.ndarray:
+    """Buckets of a text's one- and two-token n-grams and marks."""
+    if not text:
+        return np.zeros(0, dtype=np.int32)
+    tokens = _TOKENS.findall(text)
+    low, one = (np.fromiter(map(h.__getitem__, tokens), dtype=np.uint64, count=len(tokens)) for h in (_LOWER, _MARKED))
+    one[1:][low[1:] == low[:-1]] = _SAME
+    with np.errstate(over="ignore"):
+        two = (one[:-1] * np.uint64(0x9E3779B97F4A7C15) ^ one[1:]) * np.uint64(0xC2B2AE3D27D4EB4F)
+    lines = [x for x in text.split("\n") if x.strip()]
+    marks = [np.uint64(xxhash.xxh3_64_intdigest(f"\x01length {len(tokens).bit_length()}")), *([_LINE] if len(lines) > len(set(lines)) else [])]
+    return np.unique((np.concatenate((one, two, marks)) >> np.uint64(64 - BUCKET_BITS)).astype(np.int32))
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, learn: Column, buckets: Callable, max_rows: int, doc_id: str = "doc_id", text: str = "text") -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
     """(buckets of all rows, first of each row and the end) and labels, of at most ``max_rows`` labelled documents."""
     known = labels.select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_y")).where(F.col("_id").isNotNull() & F.col("_y").isNotNull() & learn)
     known = known.groupBy("_id").agg(F.max("_y").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
 
     @F.pandas_udf("array<int>")
     def features(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: sorted({_bucket(x) for x in terms(t)}), na_action=None)
+        return s.map(lambda t: buckets(t if isinstance(t, str) else None), na_action=None)
 
     rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(known), "_id")  # max_rows at most
     rows = rows.select("_id", "_y", features("_text").alias("_x")).groupBy("_id").agg(F.min("_y").alias("_y"), F.min("_x").alias("_x"))
@@ -110,6 +125,19 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def _curve(m: np.ndarray, t: np.ndarray) -> tuple[float, float]:
+    """Slope and shift of the logistic curve from margins to classes, by Newton steps with a little ridge."""
+    slope, shift = 1.0, 0.0
+    for _ in range(50):
+        s = _sigmoid(slope * m + shift)
+        g = np.array([((s - t) * m).sum() + 1e-2 * slope, (s - t).sum()])
+        r = s * (1 - s) + 1e-6
+        h = np.array([[(r * m * m).sum() + 1e-2, (r * m).sum()], [(r * m).sum(), r.sum()]])
+        d = np.linalg.solve(h, g)
+        slope, shift = slope - np.clip(d[0], -2, 2), shift - np.clip(d[1], -2, 2)
+    return float(slope), float(shift)
+
+
 class FactorizationMachine:
     """bias + sum w_i + sum over pairs <v_i, v_j>, for the active buckets."""
 
@@ -118,6 +146,7 @@ class FactorizationMachine:
         n, rng = len(self.buckets), np.random.default_rng(seed)
         share = (y.sum() + 1) / (len(y) + 2)
         self.bias, self.w, self.v = float(np.log(share / (1 - share))), np.zeros(n), rng.normal(0, 0.01, (n, FACTORS))
+        self.shift = 0.0
         if not n or len(np.unique(y)) < 2:
             return
         times = np.bincount(flat, minlength=n)
@@ -153,11 +182,43 @@ class FactorizationMachine:
                 gb += db**2
                 self.bias -= rate * db / np.sqrt(gb)
 
+    def margin(self, at: np.ndarray) -> float:
+        """For the active places of ``buckets``."""
+        s = self.v[at].sum(0)
+        return float(self.bias + self.w[at].sum() + 0.5 * ((s**2).sum() - (self.v[at] ** 2).sum()))
+
+    def placed(self, x: tuple[np.ndarray, np.ndarray], y: np.ndarray, folds: int = 3, false_cost: int = 4, **settings: float) -> FactorizationMachine:
+        """This machine with scores moved so that ``THRESHOLD`` lies at the best cut.
+
+        Shrinking leaves margins too near to 0.  Every row gets a margin from a machine fitted to the other folds; the
+        cut is the one with the fewest errors there, a false alarm counting ``false_cost`` times a miss.
+        """
+        flat, offsets = x
+        fold, lengths, margins = np.random.default_rng(0).integers(0, folds, len(y)), np.diff(offsets), np.zeros(len(y))
+        for f in range(folds):
+            held = fold == f
+            if len(np.unique(y[~held])) < 2:
+                return self
+            other = FactorizationMachine((flat[np.repeat(~held, lengths)], np.concatenate(([0], np.cumsum(lengths[~held])))), y[~held], **settings)
+            for k in np.flatnonzero(held):
+                margins[k] = other.margin(other.places(flat[offsets[k] : offsets[k + 1]]))
+        order = np.argsort(margins, kind="stable")
+        m, t = margins[order], y[order]
+        # cost of marking everything from place k on
+        cost = np.concatenate(([0], np.cumsum(t))) + false_cost * ((1 - t).sum() - np.concatenate(([0], np.cumsum(1 - t))))
+        gap = np.diff(m, prepend=m[0] - 1, append=m[-1] + 1)
+        k = min(range(len(cost)), key=lambda j: (cost[j], -gap[j]))
+        cut = (m[k - 1] if k else m[0] - 1) + 0.75 * gap[k]
+        self.shift = float(np.log(THRESHOLD / (1 - THRESHOLD)) - cut)
+        return self
+
+    def places(self, found: np.ndarray) -> np.ndarray:
+        k = np.searchsorted(self.buckets, found)
+        return k[self.buckets[np.minimum(k, len(self.buckets) - 1)] == found] if len(self.buckets) else k[:0]
+
     def scorer(self) -> Callable[[str | None], float]:
         index = {int(b): k for k, b in enumerate(self.buckets)}
         memo: dict[str, int] = {}
-        w, v, bias = self.w, self.v, self.bias
-
         def number(term: str) -> int:
             k = memo.get(term)
             if k is None:
@@ -169,9 +230,7 @@ class FactorizationMachine:
         def score(text: str | None) -> float:
             at = {number(t) for t in toxicity_terms(text)}
             at.discard(-1)
-            k = sorted(at)
-            s = v[k].sum(0)
-            return float(_sigmoid(np.array(bias + w[k].sum() + 0.5 * ((s**2).sum() - (v[k] ** 2).sum()))))
+            return float(_sigmoid(np.array(self.margin(np.array(sorted(at), dtype=np.int64)) + self.shift)))
 
         return score
 
@@ -216,36 +275,18 @@ class NaiveBayesSVM:
         m, t = margin[held], y[held]
         if len(np.unique(t)) < 2:
             m, t = margin, y
-        slope, shift = 1.0, 0.0
-        for _ in range(50):  # Newton steps on the logistic curve, with a little ridge
-            s = _sigmoid(slope * m + shift)
-            g = np.array([((s - t) * m).sum() + 1e-2 * slope, (s - t).sum()])
-            r = s * (1 - s) + 1e-6
-            h = np.array([[(r * m * m).sum() + 1e-2, (r * m).sum()], [(r * m).sum(), r.sum()]])
-            d = np.linalg.solve(h, g)
-            slope, shift = slope - np.clip(d[0], -2, 2), shift - np.clip(d[1], -2, 2)
-        self.slope, self.shift = float(slope), float(shift)
+        self.slope, self.shift = _curve(m, t)
 
     def scorer(self) -> Callable[[str | None], float]:
-        index = {int(b): k for k, b in enumerate(self.buckets)}
-        memo: dict[str, int] = {}
-        w, ratio = self.w, getattr(self, "ratio", np.zeros(len(self.buckets)))
+        buckets, w, ratio = self.buckets, self.w, getattr(self, "ratio", np.zeros(len(self.buckets)))
         bias, slope, shift = self.bias, self.slope, self.shift
 
-        def number(term: str) -> int:
-            k = memo.get(term)
-            if k is None:
-                if len(memo) > 1_000_000:
-                    memo.clear()
-                k = memo[term] = index.get(_bucket(term), -1)
-            return k
-
         def score(text: str | None) -> float:
-            at = {number(t) for t in quality_ngrams(text)}
-            at.discard(-1)
-            k = sorted(at)
+            found = quality_buckets(text)
+            k = np.searchsorted(buckets, found)
+            k = k[buckets[np.minimum(k, len(buckets) - 1)] == found] if len(buckets) else k[:0]
             r = ratio[k]
-            margin = (w[k] @ r) / max(float(np.sqrt(r @ r)), 1e-6) + bias if k else bias
+            margin = (w[k] @ r) / max(float(np.sqrt(r @ r)), 1e-6) + bias if len(k) else bias
             return float(_sigmoid(np.array(slope * margin + shift)))
 
         return score
@@ -265,11 +306,12 @@ def score_column(model: FactorizationMachine | NaiveBayesSVM, text: Column, spar
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, max_rows: int = MAX_ROWS) -> FactorizationMachine:
-    return FactorizationMachine(*training_rows(docs, labels, "toxic", learn, toxicity_terms, max_rows))
+    rows = training_rows(docs, labels, "toxic", learn, toxicity_buckets, max_rows)
+    return FactorizationMachine(*rows).placed(*rows)
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, learn: Column, max_rows: int = MAX_ROWS) -> NaiveBayesSVM:
-    return NaiveBayesSVM(*training_rows(docs, labels, "quality", learn, quality_ngrams, max_rows))
+    return NaiveBayesSVM(*training_rows(docs, labels, "quality", learn, quality_buckets, max_rows))
 
 
 def _scored(docs: DataFrame, model: FactorizationMachine | NaiveBayesSVM, held_out: Column) -> DataFrame:
