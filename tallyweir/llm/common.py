@@ -24,12 +24,14 @@ def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
     Where the setting is absent, as in tests on one machine, a folder of this
-    process is used.
+    process is used; on a cluster that raises, as executors would not see it.
     """
     global _own_root
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if _own_root is None:
         _own_root = tempfile.mkdtemp(prefix="tallyweir-")
     return f"file://{_own_root}"
@@ -69,6 +71,14 @@ def discard(*tables: DataFrame) -> None:
             _delete(df.sparkSession, path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def remainder(doc_id: Column, n: int) -> Column:
     """crc32 of the id written as text, modulo ``n``; a null id counts as ''."""
     text = F.coalesce(doc_id.cast("string"), F.lit(""))

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweir.llm.common import table, written
+from tallyweir.llm.common import fresh, table, written
 
 WINDOW = 13
 SAMPLE = 8
@@ -249,14 +249,14 @@ def find_contamination(
     window: int = WINDOW,
     max_block_words: int = MAX_BLOCK_WORDS,
 ) -> DataFrame:
-    """``docs`` with a struct ``out``: n_words, spans of hit words, ids of items."""
-    spark, first = docs.sparkSession, True
+    """``docs`` with a struct ``out``: n_words, spans of hit words, ids of items; a column of that name is replaced."""
+    spark, first, more = docs.sparkSession, True, fresh(docs, "_more_hits")
     for block in blocks_of(benchmark, item_id, item_text, max_block_words):
         now = benchmark_hits(F.col(text), block, spark, window)
         if first:
             docs = docs.withColumn(out, now)
         else:  # one more pass for each further block; spans of all are merged
-            docs = written(docs, "hits").withColumn("_more_hits", now).withColumn(out, F.pandas_udf(_merged, HITS)(F.col(out), F.col("_more_hits"))).drop("_more_hits")
+            docs = written(docs, "hits").withColumn(more, now).withColumn(out, F.pandas_udf(_merged, HITS)(F.col(out), F.col(more))).drop(more)
         first = False
     return docs
 
