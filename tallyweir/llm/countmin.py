@@ -127,6 +127,7 @@ def lost_spans(rows: DataFrame, window: int = WINDOW) -> DataFrame:
     long, int_ = T.LongType(), T.IntegerType()
     schema = T.StructType([T.StructField("_id", kind), *(T.StructField(c, long) for c in ("_t", "_a", "_b")), T.StructField("_at", int_), T.StructField("_w", T.ArrayType(long))])
     held = written(rows.where("_id is not null").mapInArrow(_segments(window, bitmap), schema), "segments")
+    bitmap.close()
     owners = written(held.groupBy("_a", "_b").agg(F.min("_id").alias("_first")), "segment-owners")
     # merge joins at every size: held segments grow with the corpus, and a hot segment can be split
     met = held.join(owners.hint("merge"), ["_a", "_b"])

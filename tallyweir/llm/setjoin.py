@@ -55,7 +55,7 @@ COMMON = 4
 #: For the sketch's size only.
 CHARACTERS_PER_WORD = 6
 #: Times that documents outside a list's largest component are compared to a member of it, before all that is left is.
-ROUNDS = 3
+ROUNDS = 2
 
 
 def _sets(h: np.ndarray, ends: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -173,7 +173,11 @@ def _sets_of(rows: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
     ids = written(pairs.select(F.explode(F.array("_x", "_y")).alias("_id")).distinct().select(F.xxhash64("_id").alias("_key")), "wanted")
     wanted = sketch(ids, _id_entries, ids.count(), least=1)
     schema = T.StructType([rows.schema["_id"], T.StructField("_set", T.ArrayType(T.LongType()))])
-    return written(rows.where("_id is not null").withColumn("_key", F.xxhash64("_id")).mapInArrow(_full_sets(k, wanted), schema), "sets")
+    sets = written(rows.where("_id is not null").withColumn("_key", F.xxhash64("_id")).mapInArrow(_full_sets(k, wanted), schema), "sets")
+    wanted.close()
+    discard(ids)
+    return sets
+
 
 
 def _apart(a: str, b: str) -> Column:
@@ -228,8 +232,8 @@ def _linked(pairs: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFram
 
     x = sets.select(F.col("_id").alias("_x"), F.col("_set").alias("_xs"))
     y = sets.select(F.col("_id").alias("_y"), F.col("_set").alias("_ys"))
-    found = written(pairs.join(x, "_x").join(y, "_y").where(probe("_xs", "_ys")).select("_x", "_y"), "links")
-    discard(sets)
+    found = written(pairs.join(x, "_x").join(y, "_y").where(probe("_xs", "_ys")).select("_x", "_y").distinct(), "links")
+    discard(sets, pairs)
     return found
 
 
@@ -276,6 +280,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     longs = T.ArrayType(T.LongType())
     schema = T.StructType([T.StructField("_id", kind), T.StructField("_n", T.LongType()), T.StructField("_digest", T.BinaryType()), T.StructField("_sig", longs), T.StructField("_short", longs)])
     profiles = written(rows.mapInArrow(_profiles(shingle, percent, seen), schema), "profiles")
+    seen.close()
 
     named = profiles.where("_id is not null and _n > 0")
     same = written(named.groupBy("_digest", "_n").agg(F.min("_id").alias("_rep")), "equal-sets")
@@ -288,6 +293,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     postings = named.select("_id", "_n", "_short").mapInArrow(_short_repeated(repeated), lists)
     postings = postings.select(F.explode("_short").alias("_s"), F.col("_id").alias("_d"), F.col("_n").alias("_dn"))
     postings = written(postings.join(reps.hint("merge"), "_d", "left_semi"), "postings")
+    repeated.close()
     hubs = postings.groupBy("_s").agg(F.count("*").alias("_k"), F.min(F.struct("_dn", "_d")).alias("_h1"), F.min(F.struct(F.xxhash64("_d").alias("_hash"), "_d")).alias("_h2"))
     hubs = written(hubs.where("_k > 1").select("_s", F.col("_h1._d").alias("_h1"), F.col("_h2._d").alias("_h2")), "hubs")
     shared = written(postings.join(hubs.hint("merge"), "_s").select("_s", "_d", "_dn", "_h1", "_h2"), "shared-lists")

@@ -89,12 +89,19 @@ def _gathered(rows: DataFrame, entries: Callable, cells_of: Callable, packed: Ca
     return rows.sparkSession.sparkContext.broadcast(flat)
 
 
-class Bitmap:
-    """Entries whose estimated count reaches the sketch's threshold; read in place by each task."""
+class _Sketch:
+    """Cells that tasks read in place; ``close`` frees them everywhere once nothing reads them any more."""
 
     def __init__(self, bits: int, flat: Broadcast):
         self.bits, self.flat = bits, flat
 
+    def close(self) -> None:
+        self.flat.destroy()
+
+
+class Bitmap(_Sketch):
+    """Entries whose estimated count reaches the sketch's threshold."""
+
     def __contains__(self, _: object) -> bool:
         raise TypeError("use hits()")
 
@@ -122,11 +129,8 @@ def _magnitudes(count: np.ndarray) -> bytes:
     return (size[0::2] | size[1::2] << 4).tobytes()
 
 
-class Frequencies:
-    """log2 (0 to 15) of estimated counts, four bits a cell; read in place by each task."""
-
-    def __init__(self, bits: int, flat: Broadcast):
-        self.bits, self.flat = bits, flat
+class Frequencies(_Sketch):
+    """log2 (0 to 15) of estimated counts, four bits a cell."""
 
     def of(self, hashes: np.ndarray) -> np.ndarray:
         flat, cell = np.frombuffer(self.flat.value, dtype=np.uint8), _cell(hashes, self.bits)

@@ -9,7 +9,7 @@ import pyarrow as pa
 import xxhash
 
 #: Words hashed at a time; a longer document is one piece of its own.
-FLUSH_WORDS = 1_000_000
+FLUSH_WORDS = 500_000
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 
 
