@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyweir.llm.classifiers import THRESHOLD, fit_quality, score_column
-from tallyweir.llm.common import remainder, table, written
+from tallyweir.llm.common import fresh, remainder, table, written
 from tallyweir.llm.fmindex import contaminated, find_contamination
 from tallyweir.llm.linechunks import dedup_lines
 from tallyweir.llm.mixing import mix_sources
@@ -26,16 +26,24 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of documents linked by five-word shingles at 0.8 the one with the smallest id stays; a null id is linked with nothing."""
+    """Of each component of documents linked by five-word shingles at 0.8 the one with the smallest id stays.
+
+    Rows of one id are one document: of those that stay, the row that sorts first by its columns does. A null id is linked
+    with nothing, and all rows with it stay.
+    """
     found = jaccard_components(docs, shingle=5, percent=80)
-    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    of_id = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_n"), F.min("component_id").alias("_c"))
+    of_id = written(of_id.where("_n > 1 or _c <> doc_id"), "near-duplicate-ids")
+    alone = docs.join(of_id.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    repeated = docs.join(of_id.where("_c = doc_id").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    return alone.unionByName(repeated.groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*"))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which 5 % or more of the words lie in benchmark phrases go; the others stay as they are."""
-    found = find_contamination(docs, table(spark, sf_dir, "benchmark"), out="_hits")
-    return found.where(~contaminated(F.col("_hits"))).select(*docs.columns)
+    hits = fresh(docs, "_hits")
+    found = find_contamination(docs, table(spark, sf_dir, "benchmark"), out=hits)
+    return found.where(~contaminated(F.col(hits))).select(*docs.columns)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
