@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 #: splits on exactly these characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Rows of texts that a Python worker gets at a time while a table is written: tens of megabytes, not hundreds.
+ARROW_ROWS = 2_000
+
 _own_root: str | None = None
 
 
@@ -60,7 +63,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.parquet(path)
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(rows)
+    spark.conf.set(rows, str(min(int(before), ARROW_ROWS) if int(before) > 0 else ARROW_ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(rows, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

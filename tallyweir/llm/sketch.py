@@ -58,7 +58,7 @@ def _parts(entries: Callable, cells_of: Callable) -> Callable:
             if len(hashes):
                 held += (new := list(cells_of(hashes)))
                 size += sum(map(len, new))
-            if size > 4_000_000:
+            if size > 1_500_000:
                 yield from part(held)
                 held, size = [], 0
         if size:
@@ -138,6 +138,6 @@ class Frequencies(_Sketch):
 
 
 def frequencies(rows: DataFrame, entries: Callable, expected: float) -> Frequencies:
-    """Magnitudes of the counts of all hashes that ``entries(batches)`` yields; about a cell for each of ``expected`` entries, up to MAX_BITS."""
-    bits = int(np.clip(np.round(np.log2(max(expected, 1))), 16, np.log2(MAX_BITS // 4)))
+    """Magnitudes of the counts of all hashes that ``entries(batches)`` yields; about a cell for two of ``expected`` entries, up to MAX_BITS."""
+    bits = int(np.clip(np.round(np.log2(max(expected, 1) / 2)), 16, np.log2(MAX_BITS // 4)))
     return Frequencies(bits, _gathered(rows, entries, lambda h: [_cell(h, bits)], _magnitudes, 1 << bits, 4))

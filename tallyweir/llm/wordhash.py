@@ -9,7 +9,7 @@ import pyarrow as pa
 import xxhash
 
 #: Words hashed at a time; a longer document is one piece of its own.
-FLUSH_WORDS = 500_000
+FLUSH_WORDS = 250_000
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 
 
@@ -30,7 +30,7 @@ class WordHasher:
         return (raw.lower() if self.lower else raw).split()
 
     def hashes(self, words: list[bytes]) -> np.ndarray:
-        if len(self.memo) > 2_000_000:
+        if len(self.memo) > 250_000:
             self.memo.clear()
         return np.fromiter(map(self.memo.__getitem__, words), dtype=np.uint64, count=len(words))
 
