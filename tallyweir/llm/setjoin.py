@@ -170,16 +170,14 @@ def _full_sets(k: int, wanted: Bitmap):
 
 def _sets_of(rows: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
     """(_id, _set) of the documents in ``pairs`` (and a few more, by a bitmap of ids): texts are not shuffled."""
-    ids = written(pairs.select(F.explode(F.array("_x", "_y")).alias("_id")).distinct().select(F.xxhash64("_id").alias("_key")), "wanted")
-    wanted = sketch(ids, _id_entries, ids.count(), least=1)
+    ends = pairs.select(F.explode(F.array("_x", "_y")).alias("_id")).select(F.xxhash64("_id").alias("_key"))
+    wanted = sketch(ends, _id_entries, 2 * pairs.count(), least=1)
     schema = T.StructType([rows.schema["_id"], T.StructField("_set", T.ArrayType(T.LongType()))])
     sets = written(rows.where("_id is not null").withColumn("_key", F.xxhash64("_id")).mapInArrow(_full_sets(k, wanted), schema), "sets")
     wanted.close()
-    discard(ids)
     return sets
 
 
-
 def _apart(a: str, b: str) -> Column:
     """Distance of the signatures of the rows with prefixes a and b; never over the true set difference."""
     x, y = F.col(f"{a}sig"), F.col(f"{b}sig")
@@ -255,8 +253,7 @@ def _twins(members: DataFrame) -> DataFrame:
 
 def connected(edges: DataFrame) -> DataFrame:
     """(_id, _label): least id reachable, for every id in ``edges`` (_x, _y)."""
-    both = edges.unionByName(edges.select(F.col("_y").alias("_x"), F.col("_x").alias("_y"))).distinct()
-    both = written(both, "edges")
+    both = written(edges.unionByName(edges.select(F.col("_y").alias("_x"), F.col("_x").alias("_y"))), "edges")
     labels = written(both.groupBy(F.col("_x").alias("_id")).agg(F.least(F.min("_y"), F.col("_x")).alias("_label")), "labels")
     while True:
         near = both.join(labels.withColumnRenamed("_id", "_y"), "_y").groupBy(F.col("_x").alias("_id")).agg(F.min("_label").alias("_near"))
@@ -313,7 +310,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         return signatures.select(F.col("_id").alias(f"_{name}"), F.col("_n").alias(f"_{name}n"), F.col("_sig").alias(f"_{name}sig"))
 
     proposed = proposed.join(side("x"), "_x").join(side("y"), "_y").where(_may_link("_x", "_y", percent)).select("_x", "_y").distinct()
-    links = _linked(proposed, rows, shingle, percent).unionByName(_twins(members))
+    links = _linked(proposed, rows, shingle, percent).unionByName(written(_twins(members), "twins"))
     labels = connected(links)
 
     # members outside a list's largest component are compared to one member of it for each list, others in each round
