@@ -27,6 +27,7 @@ repeated rows and ids get equal results.  Very long texts go in pieces of
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,11 @@ PIECE = 16_384
 RUNS = "array<struct<start:bigint,length:bigint,period:bigint>>"
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F)
 _S = np.uint64(32)
+_NONE = np.zeros(0, np.int64)
+
+
+def _places(of: np.ndarray) -> np.ndarray:
+    return of.nonzero()[0]
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -78,6 +84,7 @@ class _Growing:
         return self.a[lo - self.first : hi - self.first]
 
 
+@lru_cache(maxsize=4096)
 def periods_of(k: int, least: int) -> list[tuple[int, int]]:
     """Intervals of the periods that blocks of ``k`` words catch."""
     def level(q: int) -> int:
@@ -97,29 +104,34 @@ class _Catchers:
     """Those over the blocks of one length: the blocks' hashes, and the latest windows' ones."""
 
     def __init__(self, k: int, least: int):
-        self.k, self.periods, self.blocks, self.windows = k, periods_of(k, least), _Growing(np.uint64), _Growing(np.uint64)
+        self.k, self.shift, self.periods = k, k.bit_length() - 1, periods_of(k, least)
+        self.blocks, self.windows = _Growing(np.uint64), _Growing(np.uint64)
 
     def add(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the windows that the new words complete; returns starts and periods of blocks that come again, first blocks of their stretches only."""
         k, lo = self.k, self.windows.end
         self.windows.append(hashes)
-        a = np.arange(lo, self.windows.end)
         self.blocks.append(hashes[-lo % k :: k])
-        found = []
+        blocks, periods = [], []
         for q0, q1 in self.periods:
-            last = (a - q0) // k
-            for back in range((q1 - q0) // k + 1 + ((q1 - q0) % k > 0)):
-                m = last - back
-                ok = (m >= 0) & (a - m * k <= q1)
-                at = np.flatnonzero(ok)
-                at = at[self.blocks.at(m[at]) == hashes[at]]
-                found.append((m[at], a[at] - m[at] * k))
-        m, q = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (a[:0], a[:0])
-        before = np.flatnonzero(m > 0)
-        again = self.blocks.at(m[before] - 1) == self.windows.at((m[before] - 1) * k + q[before]) if len(before) else np.zeros(0, bool)
-        first = np.ones(len(m), bool)
-        first[before[again]] = False
-        return m[first] * k, q[first]
+            for back in range(-((q0 - q1 - 1) // k)):
+                first = max(lo, q0 + back * k)
+                if first >= self.windows.end:
+                    break
+                m = (np.arange(first - q0, self.windows.end - q0) >> self.shift) - back
+                at = (self.blocks.at(m) == hashes[first - lo :]).nonzero()[0]
+                if len(at):
+                    at, m = at + first, m[at]
+                    near = at - m * k <= q1
+                    blocks.append(m[near])
+                    periods.append(at[near] - m[near] * k)
+        if not blocks:
+            return _NONE, _NONE
+        m, q = np.concatenate(blocks), np.concatenate(periods)
+        new = m == 0
+        again = (~new).nonzero()[0]
+        new[again] = self.blocks.at(m[again] - 1) != self.windows.at((m[again] - 1) * k + q[again])
+        return m[new] * k, q[new]
 
 
 class SquareCatcher:
@@ -149,7 +161,7 @@ class SquareCatcher:
                 if w.end <= k:
                     break
                 self.levels.append(_Catchers(2 * k, self.least))  # the loop goes on with it
-            lo = self.levels[self.levels.index(level) + 1].windows.end
+            lo = self.levels[level.shift + 1].windows.end
             hi = max(lo, w.end - k)
             with np.errstate(over="ignore"):
                 hashes = _mix(w.part(lo, hi) * _A + _mix(w.part(lo + k, hi + k) + _C))
@@ -196,7 +208,7 @@ class SquareCatcher:
         start, step = at, k
         while start:
             take = min(step, start)
-            differ = np.flatnonzero(x.part(start - take, start) != x.part(start - take + period, start + period))
+            differ = _places(x.part(start - take, start) != x.part(start - take + period, start + period))
             if len(differ):
                 start += int(differ[-1]) + 1 - take
                 break
@@ -209,7 +221,7 @@ class SquareCatcher:
         step = 64
         while at < self.n:
             hi = min(at + step, self.n)
-            differ = np.flatnonzero(self.x.part(at, hi) != self.x.part(at - q, hi - q))
+            differ = _places(self.x.part(at, hi) != self.x.part(at - q, hi - q))
             if len(differ):
                 end = at + int(differ[0])
                 self.open.discard((start, q))
@@ -256,7 +268,7 @@ def collapse(words: list[bytes], runs: list[tuple[int, int, int]]) -> list[bytes
     for start, length, period in runs:
         change[start + period] += 1
         change[start + length] -= 1
-    return [words[i] for i in np.flatnonzero(np.cumsum(change[:-1]) == 0).tolist()]
+    return [words[i] for i in _places(np.cumsum(change[:-1]) == 0).tolist()]
 
 
 def periodic_runs(docs: DataFrame, text: Column | str = "text", least: int = LEAST) -> DataFrame:
@@ -283,22 +295,20 @@ def periodic_runs(docs: DataFrame, text: Column | str = "text", least: int = LEA
     return out.withColumn("collapsed", F.col("collapsed").cast("string"))
 
 
-def looped(doc_id: Column, text: Column) -> Column:
-    """The text of documents whose crc32 is a multiple of 10, made to repeat its end over and over; all others unchanged."""
-    h = F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
-    g = F.floor(h / 10)
-    words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
-    n = F.size(words).cast("long")
-    a = g % n
-    p = 1 + F.floor((n - a) / (3 + g % 8))
-    again = F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.element_at(words, (F.when(i < a, i).otherwise(a + (i - a) % p) + 1).cast("int"))), " ")
-    return F.when((h % 10 == 0) & F.regexp_like(text, F.lit(WORD)), again).otherwise(text)
+def looped(docs: DataFrame) -> DataFrame:
+    """Documents of which the id's crc32 is a multiple of 10 are made to repeat their end over and over; all others stay."""
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    rows = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("words"))
+    rows = rows.withColumn("n", F.size("words").cast("long")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    rows = rows.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    place = lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p"))
+    again = F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda i: F.get("words", place(i).cast("int"))), " ")
+    return rows.select("doc_id", F.when(F.col("n") > 0, again).otherwise(F.col("text")).alias("text"))
 
 
 def op13_dyadic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of all whole documents, the longest of each, and what stays without repeats."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", looped(F.col("doc_id"), F.col("text")).alias("text"))
-    found = periodic_runs(docs)
+    found = periodic_runs(looped(table(spark, sf_dir, "documents")))
     longest = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("l"), r["start"].alias("s"), r["period"].alias("p"))))
     line = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
     of = found.select("doc_id", "runs", "collapsed", longest.alias("best"), line.alias("lines"))
