@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyweir.llm import classifiers, countmin, divergence, fmindex, htmltext, linechunks, mixing, setjoin, squares, warc
+from tallyweir.llm import bpe, classifiers, countmin, divergence, fmindex, htmltext, linechunks, mixing, setjoin, squares, warc
 
 QUERIES = {
     "op1_fm_toxicity": classifiers.op1_fm_toxicity,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_nbsvm_quality": classifiers.op8_nbsvm_quality,
     "op9_jaccard_join": setjoin.op9_jaccard_join,
     "op10_html_text": htmltext.op10_html_text,
+    "op11_bpe_transducer": bpe.op11_bpe_transducer,
     "op13_dyadic_runs": squares.op13_dyadic_runs,
 }
 
