@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyweir.llm import bpe, classifiers, countmin, divergence, fmindex, htmltext, linechunks, mixing, setjoin, squares, warc
+from tallyweir.llm import bpe, classifiers, countmin, divergence, fmindex, htmltext, linechunks, mixing, prefixtrie, setjoin, squares, warc
 
 QUERIES = {
     "op1_fm_toxicity": classifiers.op1_fm_toxicity,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_jaccard_join": setjoin.op9_jaccard_join,
     "op10_html_text": htmltext.op10_html_text,
     "op11_bpe_transducer": bpe.op11_bpe_transducer,
+    "op12_prefix_trie": prefixtrie.op12_prefix_trie,
     "op13_dyadic_runs": squares.op13_dyadic_runs,
 }
 
@@ -23,4 +24,5 @@ ORACLES = {
     "op2_pareto_mix": mixing.ORACLE,
     "op3_line_chunks": linechunks.ORACLE,
     "op6_warc_index": warc.ORACLE,
+    "op12_prefix_trie": prefixtrie.ORACLE,
 }
