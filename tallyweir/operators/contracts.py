@@ -184,12 +184,13 @@ _WIDER = (("int", "bigint"), ("float", "double"))
 
 
 def severity(kind: Column, change: Column, was: Column, now: Column) -> Column:
-    """What a finding means: breaking, additive, renaming, widening, benign."""
+    """What a finding means: breaking, additive, renaming, widening, enum_drift, benign."""
     widening = functools.reduce(lambda a, b: a | b, [(was == x) & (now == y) for x, y in _WIDER])
     return (
         F.when(kind.isin("monitor", "volume", "stale", "corrupt"), "breaking")
-        .when((kind == "enum") & change.isin("column_absent", "not_comparable"), "breaking")
-        .when((kind == "enum") & change.isin("no_values", "too_many_values"), "error")
+        .when((kind == "enum") & change.isin("column_absent", "no_values"), "breaking")  # the watch sees nothing
+        .when((kind == "enum") & change.isin("not_comparable", "too_many_values"), "benign")  # no column to watch
+        .when(kind == "enum", "enum_drift")
         .when(kind != "schema", "benign")
         .when(change == "added", "additive")
         .when((change == "renamed") & (was == now), "renaming")

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import bisect
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 #: Metrics that a baseline looks back on.
@@ -35,13 +39,13 @@ def median_of(xs: Column) -> Column:
 
 
 def robust_z(value: Column, history: Column) -> Column:
-    """Distance from the median in robust deviations; without spread the mean deviation, without that 0 or infinity."""
+    """Distance from the median in robust deviations: the median deviation, or the mean one where that is 0, both scaled; with neither 0 or infinity."""
     mid = median_of(history)
     off = F.transform(history, lambda x: F.abs(x - mid))
     mad, mean = median_of(off), F.try_divide(F.aggregate(off, F.lit(0.0), lambda a, x: a + x), F.size(off))
     far = F.abs(value - mid)
-    same = far <= F.greatest(F.abs(value), F.abs(mid)) * 1e-9
-    return F.when(mad > 0, F.try_divide(far, mad * MAD_SCALE)).when(mean > 0, F.try_divide(far, mean)).when(same, F.lit(0.0)).when(F.size(history) > 0, F.lit(float("inf")))
+    same = far <= F.greatest(F.greatest(F.abs(value), F.abs(mid)) * 1e-9, F.lit(1e-9))
+    return F.when(mad > 0, F.try_divide(far, mad * MAD_SCALE)).when(mean > 0, F.try_divide(far, mean * MAD_SCALE)).when(same, F.lit(0.0)).when(F.size(history) > 0, F.lit(float("inf")))
 
 
 def ratio_status(value: Column, baseline: Column) -> Column:
@@ -67,12 +71,62 @@ def finding_diff(now: DataFrame, before: DataFrame, key: str) -> DataFrame:
 
 
 def throttled(alerts: DataFrame, key: str, status: str, run: str, last: int = 3) -> DataFrame:
-    """Warnings and breaches whose key and status were in none of the ``last`` runs before."""
-    runs = alerts.select(run).distinct()
-    numbered = runs.withColumn("_run", F.row_number().over(Window.orderBy(run)))  # one row a run
-    shown = alerts.where(F.col(status).isin("warn", "breach")).join(numbered, run)
-    before = F.lag("_run").over(Window.partitionBy(key, status).orderBy("_run"))
-    return shown.withColumn("_last", before).where(F.col("_last").isNull() | (F.col("_run") - F.col("_last") > last)).drop("_run", "_last")
+    """The warnings and breaches that are sent: an alert waits while it was sent in one of the ``last`` runs that sent anything.
+
+    Whether a run sends anything depends on what earlier runs sent, so the runs are found by trial: with a guess of them, every
+    key's own sequence of runs is folded by itself; runs are those that then send something, until these are the guess.
+    What is sent up to the first wrong run is right already, so each trial settles one run more at least, and most settle
+    all.  Of alerts only (key, status, run) is used, and each such triple comes out once at most.  The driver holds one
+    number a run; alerts without a run are left out.
+    """
+    shown = alerts.where(F.col(status).isin("warn", "breach") & F.col(run).isNotNull()).select(key, status, run).distinct().persist()
+    try:
+        runs = [r[0] for r in shown.select(run).distinct().orderBy(run).collect()]
+        senders = set(runs)
+        while True:
+            sent = _sent(shown, key, status, run, last, [r for r in runs if r in senders], runs).persist()
+            now = {r[0] for r in sent.select(run).distinct().collect()}
+            if now == senders:
+                return sent
+            sent.unpersist()
+            senders = now
+    finally:
+        shown.unpersist()
+
+
+def _sent(shown: DataFrame, key: str, status: str, run: str, last: int, senders: list, runs: list) -> DataFrame:
+    """Those of ``shown`` that are sent if the runs that send something are ``senders``."""
+    before = [bisect.bisect_left(senders, r) for r in runs]  # runs that sent something before each
+    numbered = shown.sparkSession.createDataFrame(list(zip(runs, before, strict=True)), T.StructType([shown.schema[run], T.StructField("_before", T.IntegerType())]))
+    seen = shown.join(F.broadcast(numbered), run).groupBy(key, status).agg(F.sort_array(F.collect_list(F.struct(F.col(run).alias("run"), F.col("_before").alias("n")))).alias("_seen"))
+    start = F.struct(F.lit(None).cast("int").alias("n"), F.expr("slice(_seen, 1, 0)").alias("sent"))
+    waits = lambda acc, x: acc["n"].isNotNull() & (x["n"] - acc["n"] <= last)
+    fold = F.aggregate("_seen", start, lambda acc, x: F.when(waits(acc, x), acc).otherwise(F.struct(x["n"].alias("n"), F.concat(acc["sent"], F.array(x)).alias("sent"))))
+    return seen.select(key, status, F.explode(fold["sent"]["run"]).alias(run))
+
+
+def route(alerts: DataFrame, log: DataFrame, key: str, run: str, now, last: int = 3) -> DataFrame:
+    """Of one run's alerts those to send: warnings and breaches whose key is in none of the ``last`` runs of the log before it.
+
+    ``log`` holds what was sent, ``run`` being its partition, so that only these runs' files are read.
+    """
+    runs = log.where(F.col(run) < F.lit(now)).select(run).distinct().orderBy(F.desc(run)).limit(last)
+    recent = log.join(F.broadcast(runs), run, "left_semi").select(key).distinct()  # at most ``last`` rows
+    return alerts.where(F.col("status").isin("warn", "breach")).join(recent, key, "left_anti")
+
+
+def route_run(spark: SparkSession, alerts: DataFrame, path: str, now: str, key: str = "alert_key", last: int = 3) -> DataFrame:
+    """Sends one run's alerts: they are appended to the log at ``path`` under ``run_at`` and returned; a repeated run replaces its own part."""
+    fields = T.StructType([*(f for f in alerts.schema.fields if f.name != "run_at"), T.StructField("run_at", T.StringType())])
+    try:
+        log = spark.read.schema(fields).parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        log = spark.createDataFrame([], fields)
+    sent = route(alerts.drop("run_at"), log, key, "run_at", now, last).withColumn("run_at", F.lit(now))
+    sent.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_at").parquet(path)
+    return spark.read.schema(fields).parquet(path).where(F.col("run_at") == now)
 
 
 def reconcile(gold: DataFrame, other: DataFrame, keys: list[str], metrics: list[str], tolerance: float = 0.0) -> DataFrame:

@@ -304,16 +304,16 @@ def _(s, d):
 
 
 _KINDS = ("schema", "schema", "schema", "enum", "enum", "volume", "stale", "other")
-_CHANGES = ("added", "renamed", "type_changed", "column_absent", "no_values", "collapse", "dropped")
+_CHANGES = ("added", "renamed", "type_changed", "column_absent", "no_values", "collapse", "dropped", "not_comparable", "too_many_values", "new_value")
 _TYPES = ("int", "bigint", "float", "double", "string")
 
 
 @_query(
     "q32_classify_findings",
-    f"""WITH f AS (SELECT o_orderkey, ({list(_KINDS)})[o_orderkey % 8 + 1] AS kind, ({list(_CHANGES)})[o_custkey % 7 + 1] AS change,
+    f"""WITH f AS (SELECT o_orderkey, ({list(_KINDS)})[o_orderkey % 8 + 1] AS kind, ({list(_CHANGES)})[o_custkey % 10 + 1] AS change,
       ({list(_TYPES)})[o_orderkey % 5 + 1] AS was, ({list(_TYPES)})[o_custkey % 5 + 1] AS now FROM orders)
     SELECT o_orderkey, 'orders|' || kind || '||' || change || '|' AS finding_key, CASE WHEN kind IN ('monitor', 'volume', 'stale', 'corrupt') THEN 'breaking'
-      WHEN kind = 'enum' AND change IN ('column_absent', 'not_comparable') THEN 'breaking' WHEN kind = 'enum' AND change IN ('no_values', 'too_many_values') THEN 'error'
+      WHEN kind = 'enum' AND change IN ('column_absent', 'no_values') THEN 'breaking' WHEN kind = 'enum' AND change IN ('not_comparable', 'too_many_values') THEN 'benign' WHEN kind = 'enum' THEN 'enum_drift'
       WHEN kind <> 'schema' THEN 'benign' WHEN change = 'added' THEN 'additive' WHEN change = 'renamed' AND was = now THEN 'renaming'
       WHEN change = 'type_changed' AND ((was = 'int' AND now = 'bigint') OR (was = 'float' AND now = 'double')) THEN 'widening'
       WHEN change IN ('dropped', 'renamed', 'type_changed') THEN 'breaking' ELSE 'benign' END AS severity FROM f""",
@@ -339,8 +339,11 @@ def _alerts(s, d):
 
 @_query(
     "q34_throttle_alerts",
-    f"""WITH {_ALERTS}, w AS (SELECT al.*, r - lag(r) OVER (PARTITION BY user_id, status ORDER BY r) AS since FROM al JOIN rn USING (run))
-    SELECT user_id, run::VARCHAR AS run, status FROM w WHERE since IS NULL OR since > 3""",
+    f"""WITH RECURSIVE {_ALERTS}, k AS (SELECT row_number() OVER (ORDER BY run) AS r, run, list({{'user_id': user_id, 'status': status}}) AS seen FROM al GROUP BY run),
+    st AS (SELECT 0::BIGINT AS r, NULL::DATE AS run, (SELECT [seen] FROM k LIMIT 0) AS log, (SELECT seen FROM k LIMIT 0) AS sent
+      UNION ALL SELECT r, run, CASE WHEN len(sent) > 0 THEN list_slice(list_append(coalesce(log, []), sent), -3, -1) ELSE log END, sent
+        FROM (SELECT k.r, k.run, st.log, list_filter(k.seen, lambda x: NOT coalesce(list_contains(flatten(st.log), x), false)) AS sent FROM st JOIN k ON k.r = st.r + 1))
+    SELECT s.user_id, run::VARCHAR AS run, s.status FROM (SELECT run, unnest(sent) AS s FROM st WHERE len(sent) > 0)""",
 )
 def _(s, d):
     return mo.throttled(_alerts(s, d), "user_id", "status", "run").withColumn("run", as_text("run")).select("user_id", "run", "status")

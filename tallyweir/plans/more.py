@@ -163,7 +163,7 @@ def _(s, d):
 @_query(
     "q19_monitor_shift",
     f"""{_I}, {_HISTORY}, off AS (SELECT *, list_median([abs(x - baseline) FOR x IN h]) AS mad, list_avg([abs(x - baseline) FOR x IN h]) AS ad FROM base),
-    zz AS (SELECT page_type, date::VARCHAR AS date, CASE WHEN mad > 0 THEN abs(n - baseline) / (mad * 1.4826) WHEN ad > 0 THEN abs(n - baseline) / ad
+    zz AS (SELECT page_type, date::VARCHAR AS date, CASE WHEN mad > 0 THEN abs(n - baseline) / (mad * 1.4826) WHEN ad > 0 THEN abs(n - baseline) / (ad * 1.4826)
       WHEN n = baseline THEN 0.0::DOUBLE WHEN baseline IS NOT NULL THEN 'inf'::DOUBLE END AS z FROM off)
     SELECT page_type, date, round(z, 4) AS z, CASE WHEN z > 4 THEN 'breach' WHEN z > 3 THEN 'warn' ELSE 'ok' END AS status FROM zz""",
 )
