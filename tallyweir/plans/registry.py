@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from tallyweir.plans import checks, events, more, search, serving
+from tallyweir.plans import checks, events, more, search, serving, streams
 
 QUERIES: dict = {}
 ORACLES: dict = {}
 
-for _found in (events.FOUND, serving.FOUND, more.FOUND, checks.FOUND, search.FOUND):
+for _found in (events.FOUND, serving.FOUND, more.FOUND, checks.FOUND, search.FOUND, streams.FOUND):
     if twice := QUERIES.keys() & _found.queries.keys():
         raise ValueError(f"queries {sorted(twice)} are there twice")
     QUERIES.update(_found.queries)
