@@ -9,7 +9,9 @@ from tallyweir.functions import scalars as sc
 from tallyweir.operators import analyses as an
 from tallyweir.operators import gold, rules
 from tallyweir.plans.base import Registry, as_text, mean_sql, pct_sql
+from tallyweir.sources.layouts import Is, Layout, Transform, read_table
 from tallyweir.sources.models import IMPRESSIONS_SQL, SLICES_SQL, STAGED_SQL, USERS_SQL, funnel_events, impressions, slices, staged_orders, table, users
+from tallyweir.sources.shared import scratch
 
 FOUND = Registry()
 _query = FOUND.add
@@ -307,10 +309,30 @@ def _(s, d):
     return rules.check_volume(slices(s, d)).withColumn("date", as_text("date"))
 
 
+_LAYOUT = "user_id string, impression_id string, page_type int, date date, event_type string"
+
+
+def _layouts(s, d):
+    """Impressions until 1995 by month, later ones by page type and by buckets of users."""
+    root = scratch(s, "layouts")
+    rows = impressions(s, d).select("user_id", "impression_id", "page_type", "date", "event_type")
+    old, new = Layout(f"{root}/old", (Transform("date", "month"),)), Layout(f"{root}/new", (Transform("page_type"), Transform("user_id", "bucket", 16)))
+    old.write(rows.where("date < '1996-01-01' or date is null"))
+    new.write(rows.where("date >= '1996-01-01'"))
+    return old, new
+
+
 @_query("l1_pruned_scan", f"{_I} SELECT impression_id, event_type FROM imp WHERE page_type = 3 AND date BETWEEN DATE '1996-01-01' AND DATE '1996-03-31'")
 def _(s, d):
-    rows = gold.slice_scan(impressions(s, d), page_type=3).where(F.col("date").between("1996-01-01", "1996-03-31"))
-    return rows.select("impression_id", "event_type")
+    """Over a root partitioned by page type: one folder of three is read."""
+    return read_table(s, [_layouts(s, d)[1]], _LAYOUT, (Is("page_type", "=", 3), Is("date", ">=", "1996-01-01"), Is("date", "<=", "1996-03-31"))).select("impression_id", "event_type")
+
+
+@_query("v14_two_layouts", f"{_I} SELECT user_id, impression_id, event_type FROM imp WHERE user_id IN ('7', '70', '301') AND date >= DATE '1995-10-15' AND date < DATE '1996-08-01'")
+def _(s, d):
+    """One filter: months of the old root, buckets of the new one."""
+    where = (Is("user_id", "in", ["7", "70", "301"]), Is("date", ">=", "1995-10-15"), Is("date", "<", "1996-08-01"))
+    return read_table(s, list(_layouts(s, d)), _LAYOUT, where).select("user_id", "impression_id", "event_type")
 
 
 @_query(
