@@ -10,8 +10,9 @@ left, and that is its encoding.
 ``Transducer`` makes it deterministic while it reads: a state is the set of
 paths still possible, each with the tokens on which the paths differ; what all
 of them share is written at once, so that a token leaves after a lookahead that
-the vocabulary bounds.  States and arrows are made when first met, and all
-thrown away once there are ``MOST_ARROWS``; memory stays bounded on any input.
+the vocabulary bounds.  States and arrows are made when first met, until there
+are ``MOST_ARROWS``; what is rarer is followed path by path, and arrows are made
+anew when that becomes the rule.  Memory stays bounded on any input.
 
 Texts are split by a pattern and every match is encoded by itself; a match that
 is one token's bytes is that token, whatever the merges.  ``TextStream`` decodes
@@ -47,7 +48,7 @@ from tallyweir.llm.common import table
 MOST_FILE_BYTES = 64 << 20
 MOST_ARROWS = 300_000
 #: Matches whose ids a worker remembers, and the longest of them.
-MOST_MATCHES, LONGEST_MATCH = 400_000, 64
+MOST_MATCHES, LONGEST_MATCH = 600_000, 64
 #: Texts of more characters are split some matches at a time.
 LONG_TEXT, MATCHES = 1_000_000, 20_000
 _NEVER = 1 << 60
@@ -107,19 +108,19 @@ class Transducer:
         self.vocabulary, self.most_arrows = vocabulary, most_arrows
         self.child: dict[int, int] = {}
         self.token = [-1]
-        inner = [False]  # places with more bytes below them
+        self.inner = [False]  # places with more bytes below them
         for token, number in vocabulary.ranks.items():
             at = 0
             for byte in token:
                 key = at << 8 | byte
-                inner[at] = True
+                self.inner[at] = True
                 if key not in self.child:
                     self.child[key] = len(self.token)
                     self.token.append(-1)
-                    inner.append(False)
+                    self.inner.append(False)
                 at = self.child[key]
             self.token[at] = number
-        self.inner = inner
+        self.made = [t if t in vocabulary.made else -1 for t in self.token]
         self._forget()
 
     def _forget(self) -> None:
@@ -128,6 +129,7 @@ class Transducer:
         self.number: dict[tuple, int] = {}
         self.last: list[tuple[int, ...]] = []
         self.pairs: dict[int, bool] = {}
+        self.missed = 0
         self._state(((-1, 0, ()),))  # (token before, place in the trie, tokens not written yet)
 
     def _state(self, paths: tuple) -> int:
@@ -135,56 +137,78 @@ class Transducer:
         if known is None:
             known = self.number[paths] = len(self.states)
             self.states.append(paths)
-            whole = next((self.token[place] for before, place, _ in paths if before < 0 and self.token[place] >= 0), None)
-            self.last.append(paths[-1][2] if whole is None else (whole,))
+            self.last.append(self._end(paths))
         return known
 
-    def _arrow(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        paths, ended = [], None
-        for before, place, waiting in self.states[state]:
-            place = self.child.get(place << 8 | byte)
+    def _end(self, paths: tuple) -> tuple[int, ...]:
+        """What is left to write where the bytes end: a whole token, or the path that has just ended one."""
+        whole = next((self.token[place] for before, place, _ in paths if before < 0 and self.token[place] >= 0), None)
+        return paths[-1][2] if whole is None else (whole,)
+
+    def _step(self, paths: tuple, byte: int) -> tuple[tuple, tuple[int, ...]]:
+        """The paths after one more byte, and the tokens that they all share."""
+        after, ended, child = [], None, self.child
+        for before, place, waiting in paths:
+            place = child.get(place << 8 | byte)
             if place is None:
                 continue
-            token = self.token[place]
-            if ended is None and token in self.vocabulary.made and (before < 0 or self._apart(before, token)):
+            if ended is None and (token := self.made[place]) >= 0 and (before < 0 or self._apart(before, token)):
                 ended = (token, 0, (*waiting, token))
             if self.inner[place] or before < 0:
-                paths.append((before, place, waiting))
-        paths.append(ended)
-        first, shared = paths[0][2], 0
-        while shared < len(first) and all(len(w) > shared and w[shared] == first[shared] for _, _, w in paths):
+                after.append((before, place, waiting))
+        after.append(ended)
+        first = after[0][2]
+        if not first:
+            return tuple(after), first
+        shared = 0
+        while shared < len(first) and all(len(w) > shared and w[shared] == first[shared] for _, _, w in after):
             shared += 1
-        if shared:
-            paths = [(b, p, w[shared:]) for b, p, w in paths]
+        return (tuple([(b, p, w[shared:]) for b, p, w in after]) if shared else tuple(after)), first[:shared]
+
+    def _arrow(self, state: int, byte: int) -> tuple[int, tuple[int, ...]] | None:
+        """A new arrow; None once there are enough of them, for what is rare is followed without."""
         if len(self.arrows) >= self.most_arrows:
-            self._forget()
-            return self._state(tuple(paths)), first[:shared]
-        arrow = self.arrows[state << 8 | byte] = self._state(tuple(paths)), first[:shared]
+            self.missed += 1
+            return None
+        paths, written = self._step(self.states[state], byte)
+        arrow = self.arrows[state << 8 | byte] = self._state(paths), written
         return arrow
 
+    def _start(self) -> int:
+        """The first state; where the input has become another one, arrows are made anew for it."""
+        if self.missed > 8 * self.most_arrows:
+            self._forget()
+        return 0
+
     def _apart(self, before: int, token: int) -> bool:
         key = before << 32 | token
         known = self.pairs.get(key)
         if known is None:
+            if len(self.pairs) >= MOST_MATCHES:
+                self.pairs.clear()
             known = self.pairs[key] = self.vocabulary.apart(before, token)
         return known
 
     def tokens(self, chunks: Iterable[bytes]) -> Iterator[int]:
         """Tokens of one match whose bytes come in chunks, each as soon as it is certain."""
-        state = 0
+        paths = self.states[self._start()]
         for chunk in chunks:
             for byte in chunk:
-                state, written = self.arrows.get(state << 8 | byte) or self._arrow(state, byte)
+                paths, written = self._step(paths, byte)
                 yield from written
-        yield from self.last[state]
+        yield from self._end(paths)
 
     def encode(self, match: bytes) -> list[int]:
-        out, state, arrows = [], 0, self.arrows
-        for byte in match:
-            arrow = arrows.get(state << 8 | byte)
+        out, state, get = [], self._start(), self.arrows.get
+        for k, byte in enumerate(match):
+            arrow = get(state << 8 | byte) or self._arrow(state, byte)
             if arrow is None:
-                arrow = self._arrow(state, byte)
-                arrows = self.arrows
+                paths = self.states[state]
+                for rest in match[k:]:
+                    paths, written = self._step(paths, rest)
+                    out += written
+                out += self._end(paths)
+                return out
             state, written = arrow
             out += written
         out += self.last[state]
@@ -192,15 +216,16 @@ class Transducer:
 
 
 class _Matches(dict):
-    """Ids of matches as little-endian 32-bit numbers."""
+    """Ids of matches as little-endian 32-bit numbers; of those met lately, the last ``MOST_MATCHES`` and as many before them."""
 
     def __init__(self, transducer: Transducer):
-        self.transducer = transducer
+        self.transducer, self.before = transducer, {}
 
     def __missing__(self, match: str) -> bytes:
-        value = _little(self.transducer.encode(match.encode("utf-8", "replace")))
+        value = self.before.get(match) or _little(self.transducer.encode(match.encode("utf-8", "replace")))
         if len(match) <= LONGEST_MATCH:
             if len(self) >= MOST_MATCHES:
+                self.before = dict(self)
                 self.clear()
             self[match] = value
         return value
@@ -287,12 +312,32 @@ class TextStream:
 
 class Decoder:
     def __init__(self, vocabulary: Vocabulary):
-        self.tokens, self.known = vocabulary.bytes, {}
+        self.tokens, self.known, self.whole = vocabulary.bytes, {}, {}
+        self.cut = np.ones(max(vocabulary.bytes) + 1, bool)  # tokens that are no whole characters
+        for token, data in vocabulary.bytes.items():
+            stream = TextStream(vocabulary.bytes)
+            text = stream.add(token)
+            if not stream.held and "�" not in text:
+                self.whole[token], self.cut[token] = text, False
 
     def decode(self, ids: bytes) -> str:
         """The text of little-endian unsigned 32-bit ids."""
-        stream = TextStream(self.tokens, self.known)
-        return "".join(map(stream.add, np.frombuffer(ids, "<u4").tolist())) + stream.end()
+        numbers = np.frombuffer(ids, "<u4")
+        tokens, at = numbers.tolist(), 0
+        if not len(cuts := self.cut[numbers].nonzero()[0].tolist()):
+            return "".join(map(self.whole.__getitem__, tokens))
+        out, stream = [], TextStream(self.tokens, self.known)
+        for k in cuts:
+            if k >= at:  # whole characters up to the next cut, then token by token until a character is whole again
+                out += map(self.whole.__getitem__, tokens[at:k])
+                at = k
+                while True:
+                    out.append(stream.add(tokens[at]))
+                    at += 1
+                    if not stream.held or at == len(tokens):
+                        break
+        out += map(self.whole.__getitem__, tokens[at:])
+        return "".join(out) + stream.end()
 
 
 _machines: dict = {}
