@@ -46,9 +46,9 @@ from tallyweir.llm.common import table
 
 #: Most bytes of a rank file: it is read by the driver and broadcast.
 MOST_FILE_BYTES = 64 << 20
-MOST_ARROWS = 300_000
+MOST_ARROWS = 250_000
 #: Matches whose ids a worker remembers, and the longest of them.
-MOST_MATCHES, LONGEST_MATCH = 600_000, 64
+MOST_MATCHES, LONGEST_MATCH = 300_000, 64
 #: Texts of more characters are split some matches at a time.
 LONG_TEXT, MATCHES = 1_000_000, 20_000
 _NEVER = 1 << 60
