@@ -11,13 +11,14 @@ never inputs of a score.
   inner products weigh pairs of terms, as an insult with a group's name.  Every
   bucket of ``LEAST_DOCUMENTS`` or more is in the machine, telling alone or not: at
   each step weights shrink towards 0, and vectors towards where they started, by
-  ``chance`` (``chance_v``) times what a bucket as frequent drifts by chance.  Sums are shifted so
-  that the threshold lies at the best cut of cross-validation, then squashed to scores.
+  ``chance`` (``chance_v``) times what a bucket as frequent drifts by chance; how strongly, and how fast
+  vectors learn, is chosen by cross-validation.  Sums are scaled and shifted so
+  that the threshold lies at the best cut of it, then squashed to scores.
 * Quality: Naive Bayes support vectors.  N-gram indicators of one and two tokens
   (words, runs of symbols, marks for capitals, repetition and repeated lines)
   are scaled by the log-ratio of their class counts; a linear hinge-loss model
-  is fitted to them by dual coordinate descent, and a logistic curve on held-in
-  margins turns margins into scores.
+  is fitted to four fifths of the rows by dual coordinate descent, and a logistic curve on
+  the margins of the last fifth turns margins into scores.
 
 Null and empty texts have no features and get the score of the bias.  Without
 labelled rows, or with one class only, scores are the (smoothed) share of class
@@ -40,6 +41,8 @@ from tallyweir.llm.common import remainder, table
 
 MAX_ROWS, THRESHOLD = 6_000, 0.7
 BUCKET_BITS, FACTORS, LEAST_DOCUMENTS = 22, 4, 3
+#: Rates of the vectors and how strongly chance holds them back, to be chosen from by ``FOLDS`` folds.
+STRENGTHS, FOLDS = ({"rate_v": 0.024, "chance_v": 3.0}, {"rate_v": 0.03, "chance_v": 6.0}), 3
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 _TOKENS = re.compile(r"[^\W_]+|[^\w\s]+|_+")
@@ -141,12 +144,12 @@ def _curve(m: np.ndarray, t: np.ndarray) -> tuple[float, float]:
 class FactorizationMachine:
     """bias + sum w_i + sum over pairs <v_i, v_j>, for the active buckets."""
 
-    def __init__(self, x: tuple[np.ndarray, np.ndarray], y: np.ndarray, epochs: int = 12, batch: int = 128, rate: float = 0.2, l2: float = 1e-5, chance: float = 0.7, chance_v: float = 3.0, damp_w: float = 1e-4, damp_v: float = 1e-3, seed: int = 1):
+    def __init__(self, x: tuple[np.ndarray, np.ndarray], y: np.ndarray, epochs: int = 12, batch: int = 128, rate: float = 0.2, rate_v: float = 0.02, l2: float = 1e-5, chance: float = 0.7, chance_v: float = 3.0, damp_w: float = 1e-4, damp_v: float = 1e-3, seed: int = 1):
         self.buckets, flat, offsets = _frequent(x, LEAST_DOCUMENTS)
         n, rng = len(self.buckets), np.random.default_rng(seed)
         share = (y.sum() + 1) / (len(y) + 2)
         self.bias, self.w, self.v = float(np.log(share / (1 - share))), np.zeros(n), rng.normal(0, 0.01, (n, FACTORS))
-        self.shift = 0.0
+        self.slope, self.shift = 1.0, 0.0
         if not n or len(np.unique(y)) < 2:
             return
         times = np.bincount(flat, minlength=n)
@@ -175,7 +178,7 @@ class FactorizationMachine:
                 pull = err[row][:, None] * (sums[row] - vx)
                 dv = np.stack([np.bincount(local, weights=pull[:, f]) for f in range(FACTORS)], axis=1) + l2 * self.v[touched]
                 gv[touched] += dv**2
-                step = rate * 0.1 / np.sqrt(gv[touched])
+                step = rate_v / np.sqrt(gv[touched])
                 v = self.v[touched] - step * dv - start[touched]
                 self.v[touched] = start[touched] + np.sign(v) * np.maximum(np.abs(v) - step * far * spread[touched, None], 0)
                 db = err.sum()
@@ -187,21 +190,12 @@ class FactorizationMachine:
         s = self.v[at].sum(0)
         return float(self.bias + self.w[at].sum() + 0.5 * ((s**2).sum() - (self.v[at] ** 2).sum()))
 
-    def placed(self, x: tuple[np.ndarray, np.ndarray], y: np.ndarray, folds: int = 3, false_cost: int = 4, **settings: float) -> FactorizationMachine:
-        """This machine with scores moved so that ``THRESHOLD`` lies at the best cut.
+    def placed(self, margins: np.ndarray, y: np.ndarray, false_cost: int = 4) -> FactorizationMachine:
+        """This machine with scores moved so that ``THRESHOLD`` lies at the best cut of the margins that rows got from other rows' machines.
 
-        Shrinking leaves margins too near to 0.  Every row gets a margin from a machine fitted to the other folds; the
-        cut is the one with the fewest errors there, a false alarm counting ``false_cost`` times a miss.
+        Shrinking leaves margins too near to 0.  A logistic curve tells how fast scores rise, and the cut is the one with the
+        fewest errors, a false alarm counting ``false_cost`` times a miss.
         """
-        flat, offsets = x
-        fold, lengths, margins = np.random.default_rng(0).integers(0, folds, len(y)), np.diff(offsets), np.zeros(len(y))
-        for f in range(folds):
-            held = fold == f
-            if len(np.unique(y[~held])) < 2:
-                return self
-            other = FactorizationMachine((flat[np.repeat(~held, lengths)], np.concatenate(([0], np.cumsum(lengths[~held])))), y[~held], **settings)
-            for k in np.flatnonzero(held):
-                margins[k] = other.margin(other.places(flat[offsets[k] : offsets[k + 1]]))
         order = np.argsort(margins, kind="stable")
         m, t = margins[order], y[order]
         # cost of marking everything from place k on
@@ -209,7 +203,8 @@ class FactorizationMachine:
         gap = np.diff(m, prepend=m[0] - 1, append=m[-1] + 1)
         k = min(range(len(cost)), key=lambda j: (cost[j], -gap[j]))
         cut = (m[k - 1] if k else m[0] - 1) + 0.75 * gap[k]
-        self.shift = float(np.log(THRESHOLD / (1 - THRESHOLD)) - cut)
+        self.slope = max(_curve(m, t)[0], 1.0)
+        self.shift = float(np.log(THRESHOLD / (1 - THRESHOLD)) - self.slope * cut)
         return self
 
     def places(self, found: np.ndarray) -> np.ndarray:
@@ -230,7 +225,7 @@ class FactorizationMachine:
         def score(text: str | None) -> float:
             at = {number(t) for t in toxicity_terms(text)}
             at.discard(-1)
-            return float(_sigmoid(np.array(self.margin(np.array(sorted(at), dtype=np.int64)) + self.shift)))
+            return float(_sigmoid(np.array(self.slope * self.margin(np.array(sorted(at), dtype=np.int64)) + self.shift)))
 
         return score
 
@@ -305,9 +300,42 @@ def score_column(model: FactorizationMachine | NaiveBayesSVM, text: Column, spar
     return score(text)
 
 
+def held_margins(spark: SparkSession, x: tuple[np.ndarray, np.ndarray], y: np.ndarray, settings: tuple[dict, ...], folds: int = FOLDS) -> np.ndarray | None:
+    """For each of the settings the margin of every row by a machine fitted to the other folds, each fit a task; None where a fold leaves one class only."""
+    (flat, offsets), fold = x, np.random.default_rng(0).integers(0, folds, len(y))
+    if any(len(np.unique(y[fold != f])) < 2 for f in range(folds)):
+        return None
+    shared = spark.sparkContext.broadcast((flat, offsets, y, fold))  # bounded by max_rows
+
+    def fit(tasks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        flat, offsets, y, fold = shared.value
+        lengths = np.diff(offsets)
+        for k in (int(i) for t in tasks for i in t["id"]):
+            held = fold == k % folds
+            machine = FactorizationMachine((flat[np.repeat(~held, lengths)], np.concatenate(([0], np.cumsum(lengths[~held])))), y[~held], **settings[k // folds])
+            rows = np.flatnonzero(held)
+            yield pd.DataFrame({"setting": k // folds, "row": rows, "margin": [machine.margin(machine.places(flat[offsets[r] : offsets[r + 1]])) for r in rows]})
+
+    n = folds * len(settings)
+    got, out = spark.range(0, n, 1, n).mapInPandas(fit, "setting int, row long, margin double").toPandas(), np.zeros((len(settings), len(y)))
+    shared.unpersist()
+    out[got["setting"], got["row"]] = got["margin"]
+    return out
+
+
+def _loss(m: np.ndarray, t: np.ndarray) -> float:
+    slope, shift = _curve(m, t)
+    return float(-np.log(np.maximum(_sigmoid((slope * m + shift) * (2 * t - 1)), 1e-9)).mean())
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, max_rows: int = MAX_ROWS) -> FactorizationMachine:
-    rows = training_rows(docs, labels, "toxic", learn, toxicity_buckets, max_rows)
-    return FactorizationMachine(*rows).placed(*rows)
+    """How strongly vectors are held back is chosen among ``STRENGTHS`` by cross-validation."""
+    x, y = training_rows(docs, labels, "toxic", learn, toxicity_buckets, max_rows)
+    margins = held_margins(docs.sparkSession, x, y, STRENGTHS)
+    if margins is None:
+        return FactorizationMachine(x, y)
+    best = min(range(len(STRENGTHS)), key=lambda k: _loss(margins[k], y))
+    return FactorizationMachine(x, y, **STRENGTHS[best]).placed(margins[best], y)
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, learn: Column, max_rows: int = MAX_ROWS) -> NaiveBayesSVM:
