@@ -24,17 +24,26 @@ def _distinct_stages() -> Column:
     return F.bit_count(_stage_bits()).cast("long")
 
 
+def _deepest(bits: Column) -> Column:
+    """The greatest letter among stage bits."""
+    return F.chr((F.length(F.bin(bits)) + 63).cast("long"))
+
+
 def impressions_aggregated(events: DataFrame) -> DataFrame:
-    """One row per impression; events without a date are left out."""
-    at = compose_ts(F.col("date"), F.col("hour"), F.col("min"), F.col("second"))
-    return events.where("date is not null").groupBy("user_id", "impression_id", "page_type", "date", "hour").agg(
-        F.count("*").alias("event_count"),
-        _distinct_stages().alias("distinct_events"),
-        F.min("second").alias("first_second"),
-        F.max("second").alias("last_second"),
-        F.min(at).alias("first_ts"),
-        F.max(at).alias("last_ts"),
-        F.max("event_type").alias("max_stage"),
+    """One row per impression; events without a date are left out.
+
+    Only whole numbers are aggregated, so that rows are hashed and not sorted: stages as bits, moments as seconds of their
+    hour, which is a key; texts and timestamps are made of them afterwards.
+    """
+    inside = F.col("min").between(0, 59) & F.col("second").between(0, 59)
+    moment = F.when(inside, F.col("min") * 60 + F.col("second"))
+    per = events.where("date is not null").groupBy("user_id", "impression_id", "page_type", "date", "hour").agg(
+        F.count("*").alias("event_count"), _stage_bits().alias("_bits"), F.min("second").alias("first_second"), F.max("second").alias("last_second"), F.min(moment).alias("_first"), F.max(moment).alias("_last")
+    )
+    at = lambda c: compose_ts(F.col("date"), F.col("hour"), F.floor(F.col(c) / 60).cast("int"), F.col(c) % 60)
+    return per.select(
+        "user_id", "impression_id", "page_type", "date", "hour", "event_count", F.coalesce(F.bit_count("_bits"), F.lit(0)).cast("long").alias("distinct_events"),
+        "first_second", "last_second", at("_first").alias("first_ts"), at("_last").alias("last_ts"), _deepest(F.col("_bits")).alias("max_stage"),
     )
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyweir.functions.scalars import ratio
+from tallyweir.operators.quantiles import exact_quantiles, same_keys
 
 SLOW_MS = 5000
 
@@ -14,8 +15,12 @@ def _is(kind: str) -> Column:
     return F.col("event_type") == kind
 
 
-def _percentile(p: float) -> Column:
-    return F.round(F.percentile(F.when(_is("agent_response"), F.col("latency_ms")), p), 4)
+def _with_quantile(per: DataFrame, events: DataFrame, keys: list[str], name: str, p: float) -> DataFrame:
+    """``per`` with an exact quantile of the latencies of responses, by counting passes instead of a list a group."""
+    of = exact_quantiles(events.select(*keys, F.when(_is("agent_response"), F.col("latency_ms")).alias("_ms")), keys, "_ms", {"_q": p})
+    others = [f"_of_{k}" for k in keys]
+    of = of.withColumnsRenamed(dict(zip(keys, others, strict=True)))
+    return per.join(of, same_keys(keys, others), "left").select(*per.columns, F.round("_q", 4).alias(name))
 
 
 def _inside(account: str, start: str, end: str) -> Column:
@@ -25,23 +30,24 @@ def _inside(account: str, start: str, end: str) -> Column:
 
 def tenant_dashboard(events: DataFrame, account: str, start: str, end: str) -> DataFrame:
     """Per day of [start, end) for one account."""
-    inside = _inside(account, start, end)
+    rows = events.where(_inside(account, start, end)).withColumn("day", F.to_date("event_ts"))
     started, escalated = F.count_if(_is("conversation_started")), F.count_if(_is("escalation"))
-    return events.where(inside).groupBy(F.to_date("event_ts").alias("day")).agg(
+    per = rows.groupBy("day").agg(
         F.count("*").alias("events"), started.alias("started"), F.count_if(_is("resolution")).alias("resolved"), escalated.alias("escalated"),
-        F.round(F.try_divide(escalated.cast("decimal(20,6)"), started.cast("decimal(20,0)")), 4).cast("double").alias("escalation_rate"), _percentile(0.95).alias("p95_latency"),
+        F.round(F.try_divide(escalated.cast("decimal(20,6)"), started.cast("decimal(20,0)")), 4).cast("double").alias("escalation_rate"),
     )
+    return _with_quantile(per, rows, ["day"], "p95_latency", 0.95)
 
 
 def platform_health(events: DataFrame) -> DataFrame:
-    return events.groupBy(F.to_date("event_ts").alias("day")).agg(
-        F.count_if(_is("conversation_started")).alias("started"), F.count_if(_is("escalation")).alias("escalated"), _percentile(0.99).alias("p99_latency")
-    )
+    rows = events.withColumn("day", F.to_date("event_ts"))
+    per = rows.groupBy("day").agg(F.count_if(_is("conversation_started")).alias("started"), F.count_if(_is("escalation")).alias("escalated"))
+    return _with_quantile(per, rows, ["day"], "p99_latency", 0.99)
 
 
 def slow_responses(events: DataFrame) -> DataFrame:
     rows = events.where(_is("agent_response") & (F.col("latency_ms") > SLOW_MS))
-    return rows.groupBy("model", "channel").agg(F.count("*").alias("slow"), F.round(F.percentile("latency_ms", 0.99), 4).alias("p99_latency"))
+    return _with_quantile(rows.groupBy("model", "channel").agg(F.count("*").alias("slow")), rows, ["model", "channel"], "p99_latency", 0.99)
 
 
 def top_intents(events: DataFrame, account: str, start: str, end: str, n: int = 20) -> DataFrame:
