@@ -1,19 +1,16 @@
-"""Schemas that change by field id, staged publication, and releases of gold tables."""
+"""Schemas that change by field id, and staged publication."""
 
 from __future__ import annotations
 
 import functools
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tallyweir.operators.contracts import Rule, contract_results
 from tallyweir.operators.rules import merge_upsert
 
 _WIDER = {("int", "bigint"), ("smallint", "int"), ("tinyint", "int"), ("tinyint", "smallint"), ("smallint", "bigint"), ("float", "double"), ("date", "timestamp_ntz")}
-#: Superseded releases that can be taken back.
-KEPT = 3
 
 
 def evolved(batches: list[tuple[DataFrame, dict[str, int]]], schema: list[tuple[int, str, str]]) -> DataFrame:
@@ -44,41 +41,3 @@ def publish_staged(target: DataFrame, staged: DataFrame, keys: list[str], rules:
     if failed:
         raise ValueError("staged change: " + "; ".join(f"{r['check']}({r['column']})" for r in failed))
     return merge_upsert(target, staged, keys)
-
-
-def _log(spark: SparkSession, log_path: str, rows: list[tuple]) -> None:
-    spark.createDataFrame(rows, "release int, action string, table_name string, n_rows long").withColumn("at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(log_path)
-
-
-def promote_release(tables: dict[str, DataFrame], root: str, log_path: str, release: int) -> None:
-    """Writes the candidate tables (none called ``stg_`` or ``int_``) under ``release=<n>``, then logs their counts: that swaps them in."""
-    done = []
-    for name, rows in tables.items():
-        if not name.startswith(("stg_", "int_")):
-            path = f"{root}/release={release}/{name}"
-            rows.write.mode("overwrite").parquet(path)
-            done.append((release, "promote", name, rows.sparkSession.read.parquet(path).count()))
-    _log(next(iter(tables.values())).sparkSession, log_path, done)
-
-
-def releases(log: DataFrame) -> DataFrame:
-    """(release, state): active, retained (the newest ``KEPT`` superseded ones), rolled_back or expired."""
-    last = log.groupBy("release").agg(F.max(F.struct("at", "action")).alias("_l")).select("release", F.col("_l.action").alias("action"))
-    place = F.row_number().over(Window.partitionBy("action").orderBy(F.desc("release")))  # a row a release
-    state = F.when(F.col("action") == "rollback", "rolled_back").when(F.col("_k") == 1, "active").when(F.col("_k") <= KEPT + 1, "retained").otherwise("expired")
-    return last.withColumn("_k", place).select("release", state.alias("state"))
-
-
-def rollback_release(spark: SparkSession, log_path: str) -> int:
-    """Marks the active release as rolled back; gives the newest retained one, which is active now."""
-    states = {r["release"]: r["state"] for r in releases(spark.read.parquet(log_path)).collect()}  # a row a release
-    retained = [n for n, state in states.items() if state == "retained"]
-    if not retained:
-        raise ValueError("no release is retained")
-    _log(spark, log_path, [(next(n for n, state in states.items() if state == "active"), "rollback", "", None)])
-    return max(retained)
-
-
-def read_release(spark: SparkSession, root: str, log_path: str, name: str) -> DataFrame:
-    active = releases(spark.read.parquet(log_path)).where("state = 'active'").first()["release"]
-    return spark.read.parquet(f"{root}/release={active}/{name}")

@@ -29,17 +29,6 @@ def test_staged_change(spark):
         ev.publish_staged(target, spark.createDataFrame([(2, "z")], "k int, v string"), ["k"], rules)
 
 
-def test_releases(spark, tmp_path):
-    root, log = str(tmp_path / "gold"), str(tmp_path / "log")
-    for n in range(1, 7):
-        ev.promote_release({"summary": spark.range(n), "stg_x": spark.range(1)}, root, log, n)
-    states = {r.release: r.state for r in ev.releases(spark.read.parquet(log)).collect()}
-    assert states == {1: "expired", 2: "expired", 3: "retained", 4: "retained", 5: "retained", 6: "active"}
-    assert ev.read_release(spark, root, log, "summary").count() == 6 and not (tmp_path / "gold/release=6/stg_x").exists()
-    assert ev.rollback_release(spark, log) == 5 and ev.read_release(spark, root, log, "summary").count() == 5
-    assert {r.table_name: r.n_rows for r in spark.read.parquet(log).where("release = 4").collect()} == {"summary": 4}
-
-
 def _events(spark):
     rows = [(f"t{k % 3}", datetime.datetime(2026, 1 + k % 2, 1 + k % 20), f"c{k}", k) for k in range(60)]
     return spark.createDataFrame(rows, "tenant string, ts timestamp_ntz, conversation string, n int")
