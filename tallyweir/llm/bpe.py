@@ -34,7 +34,7 @@ import hashlib
 import sys
 from array import array
 from collections.abc import Iterable, Iterator
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -46,11 +46,13 @@ from tallyweir.llm.common import table
 
 #: Most bytes of a rank file: it is read by the driver and broadcast.
 MOST_FILE_BYTES = 64 << 20
-MOST_ARROWS = 250_000
+MOST_ARROWS = 200_000
 #: Matches whose ids a worker remembers, and the longest of them.
-MOST_MATCHES, LONGEST_MATCH = 300_000, 64
+MOST_MATCHES, LONGEST_MATCH = 400_000, 64
 #: Texts of more characters are split some matches at a time.
 LONG_TEXT, MATCHES = 1_000_000, 20_000
+#: Matches of several texts that are looked up together.
+HELD = 300_000
 _NEVER = 1 << 60
 
 
@@ -215,6 +217,30 @@ class Transducer:
         return out
 
 
+    def encode_sorted(self, matches: Iterable[bytes]) -> Iterator[list[int]]:
+        """Tokens of matches in byte order: each goes on from where it parts from the one before."""
+        before, out = b"", []
+        stack: list[tuple[int, tuple | None, int]] = [(self._start(), None, 0)]  # after each byte: state, or paths where there is no arrow, and tokens written
+        get = self.arrows.get
+        for match in matches:
+            same, most = 0, min(len(before), len(match))
+            while same < most and before[same] == match[same]:
+                same += 1
+            del stack[same + 1 :]
+            state, paths, n = stack[-1]
+            del out[n:]
+            for byte in match[same:]:
+                arrow = None if paths is not None else get(state << 8 | byte) or self._arrow(state, byte)
+                if arrow is None:
+                    paths, written = self._step(self.states[state] if paths is None else paths, byte)
+                else:
+                    state, written = arrow
+                out += written
+                stack.append((state, paths, len(out)))
+            before = match
+            yield [*out, *(self.last[state] if paths is None else self._end(paths))]
+
+
 class _Matches(dict):
     """Ids of matches as little-endian 32-bit numbers; of those met lately, the last ``MOST_MATCHES`` and as many before them."""
 
@@ -222,7 +248,9 @@ class _Matches(dict):
         self.transducer, self.before = transducer, {}
 
     def __missing__(self, match: str) -> bytes:
-        value = self.before.get(match) or _little(self.transducer.encode(match.encode("utf-8", "replace")))
+        return self.keep(match, self.before.get(match) or _little(self.transducer.encode(match.encode("utf-8", "replace"))))
+
+    def keep(self, match: str, value: bytes) -> bytes:
         if len(match) <= LONGEST_MATCH:
             if len(self) >= MOST_MATCHES:
                 self.before = dict(self)
@@ -230,6 +258,11 @@ class _Matches(dict):
             self[match] = value
         return value
 
+    def learn(self, matches: list[str]) -> dict[str, bytes]:
+        """Ids of those that are not known yet."""
+        new = sorted((m.encode("utf-8", "replace"), m) for m in matches if m not in self and m not in self.before)
+        return {m: self.keep(m, _little(ids)) for (_, m), ids in zip(new, self.transducer.encode_sorted(b for b, _ in new), strict=True)}
+
 
 def _little(numbers: list[int]) -> bytes:
     words = array("I", numbers)
@@ -244,6 +277,38 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary, pattern: str):
         self.pattern, self.matches = regex.compile(pattern), _Matches(Transducer(vocabulary))
 
+    def encode_all(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """Ids of each text; equal matches of many texts are looked up once, new ones in order, as neighbours share most of their states."""
+        held, n = [], 0
+        for text in texts:
+            if len(text) > LONG_TEXT:
+                yield from self._encode_held(held)
+                yield self.encode(text)
+                held, n = [], 0
+                continue
+            held.append(self.pattern.findall(text))
+            n += len(held[-1])
+            if n >= HELD:
+                yield from self._encode_held(held)
+                held, n = [], 0
+        yield from self._encode_held(held)
+
+    def _encode_held(self, held: list[list[str]]) -> Iterator[bytes]:
+        if not held:
+            return
+        coded = pa.array(list(chain.from_iterable(held)), pa.string()).dictionary_encode()
+        words, which = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        new = self.matches.learn(words)
+        values = [new.get(w) or self.matches[w] for w in words]
+        sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
+        starts, packed = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(values), "<u4")
+        n = sizes[which]
+        ends = np.cumsum(n)
+        ids = packed[np.repeat(starts[which] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
+        cuts = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum([len(x) for x in held])))]
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            yield ids[a:b].tobytes()
+
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
         if len(text) <= LONG_TEXT:
@@ -369,7 +434,8 @@ class Tokenizer:
 
         def encode(texts: pa.Array) -> pa.Array:
             encoder = _machine(Encoder, vocabulary.value, pattern)
-            return pa.array((None if not t.is_valid else encoder.encode(t.as_py().decode("utf-8", "replace")) for t in texts), pa.binary())
+            found = encoder.encode_all(t.as_py().decode("utf-8", "replace") if t.is_valid else "" for t in texts)
+            return pa.array((ids if t.is_valid else None for t, ids in zip(texts, found, strict=True)), pa.binary())
 
         return F.arrow_udf(encode, "binary")(text.cast("binary"))
 

@@ -53,6 +53,15 @@ def test_ids_are_those_of_the_library(ranks, vocabulary, library):
         assert encoder.encode(text) == pack(library.encode_ordinary(text)), text
 
 
+def test_many_texts_together(ranks, vocabulary, library, monkeypatch):
+    monkeypatch.setattr(bpe, "LONG_TEXT", 400)
+    texts = [*TEXTS, *random_texts(random.Random(7), ranks, 500)]
+    for held in (1, 50, 10**6):
+        monkeypatch.setattr(bpe, "HELD", held)
+        assert list(bpe.Encoder(vocabulary, public_tokenizers.PATTERN).encode_all(texts)) == [pack(library.encode_ordinary(t)) for t in texts]
+    assert list(bpe.Encoder(vocabulary, public_tokenizers.PATTERN).encode_all([])) == []
+
+
 def test_few_arrows_and_any_chunks_give_the_same(ranks, vocabulary, library):
     rng, small = random.Random(2), bpe.Transducer(vocabulary, most_arrows=40)
     for text in random_texts(rng, ranks, 400):
