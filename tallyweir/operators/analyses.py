@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyweir.functions.scalars import compose_ts, pct2, ratio
+from tallyweir.operators.joins import hot_salted_join, small
 
 JOIN_STRATEGIES = ("broadcast", "salted", "plain")
 
@@ -175,25 +176,22 @@ def missing_periods(days: DataFrame, date: str = "date", keys: list[str] | None
 
 
 def enrich(events: DataFrame, users: DataFrame, key: str, strategy: str = "broadcast", how: str = "left") -> DataFrame:
-    """Users' columns for each event; unmatched events stay with nulls. ``broadcast`` is for dimensions known to be small."""
+    """Users' columns for each event; unmatched events stay with nulls.
+
+    ``broadcast`` sends the users to every task if they are ``small``, and salts hot keys if not.
+    """
     if strategy not in JOIN_STRATEGIES:
         raise ValueError(f"{strategy!r} is none of {JOIN_STRATEGIES}")
-    if strategy == "salted":
-        return enrich_salted(events, users, key, how=how)
-    return events.join(F.broadcast(users) if strategy == "broadcast" else users, key, how)
+    if strategy == "plain":
+        return events.join(users, key, how)
+    if strategy == "broadcast" and small(users):
+        return events.join(F.broadcast(users), key, how)
+    return enrich_salted(events, users, key, how=how)
 
 
 def enrich_salted(events: DataFrame, users: DataFrame, key: str, salts: int = 10, how: str = "left") -> DataFrame:
-    """Join in which a hot key is spread over ``salts`` partitions; the salt is a hash, so retries agree.
-
-    Columns come as the key, those of the events, those of the users.
-    """
-    if how not in ("inner", "left"):
-        raise ValueError(f"{how!r} can't be salted")
-    salted = events.withColumn("_salt", F.pmod(F.xxhash64(*events.columns), F.lit(salts)).cast("int"))
-    spread = users.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    joined = salted.join(spread, [key, "_salt"], how)
-    return joined.select(key, *[c for c in events.columns if c != key], *[c for c in users.columns if c != key])
+    """Join in which hot keys are spread over ``salts`` partitions; columns come as the key, those of the events, those of the users."""
+    return hot_salted_join(events, users, key, salts, how)
 
 
 def two_phase_distinct(rows: DataFrame, key: str, value: str, salts: int = 16) -> DataFrame:

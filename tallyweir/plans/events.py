@@ -267,7 +267,7 @@ def _(s, d):
 
 @_query("j1_enrich_broadcast", f"{_I}, {USERS_SQL} SELECT user_id, impression_id, event_type, segment, country FROM imp LEFT JOIN us USING (user_id)")
 def _(s, d):
-    return an.enrich(impressions(s, d), users(s, d), "user_id", "plain").select("user_id", "impression_id", "event_type", "segment", "country")
+    return an.enrich(impressions(s, d), users(s, d), "user_id").select("user_id", "impression_id", "event_type", "segment", "country")
 
 
 @_query("j2_enrich_salted", f"{_I}, {USERS_SQL} SELECT user_id, impression_id, event_type, segment, country FROM imp LEFT JOIN us USING (user_id)")

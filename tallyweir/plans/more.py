@@ -11,6 +11,7 @@ from tallyweir.operators import monitors as mo
 from tallyweir.operators import retrieval as rt
 from tallyweir.operators import rules
 from tallyweir.operators import versions as ve
+from tallyweir.operators.joins import joined_counts
 from tallyweir.plans.base import Registry
 from tallyweir.plans.base import as_text as _text
 from tallyweir.sources.models import CONVERSATION_SQL, IMPRESSIONS_SQL, USERS_SQL, conversation_events, funnel_events, impressions, table, users
@@ -107,7 +108,7 @@ def _(s, d):
 
 @_query("j3_skew_join_aggregate", f"{_I}, {_US} SELECT segment, page_type, count(*) AS events FROM imp JOIN us USING (user_id) GROUP BY ALL")
 def _(s, d):
-    return impressions(s, d).join(users(s, d), "user_id").groupBy("segment", "page_type").agg(F.count("*").alias("events"))
+    return joined_counts(impressions(s, d), users(s, d), "user_id", ["page_type"], ["segment"])
 
 
 @_query("j4_self_join_pairs", f"{_I} SELECT a.event_type AS stage, b.event_type AS later_stage, count(*) AS impressions FROM imp a JOIN imp b ON a.impression_id = b.impression_id AND a.event_type < b.event_type GROUP BY ALL")
