@@ -139,7 +139,7 @@ def lost_spans(rows: DataFrame, window: int = WINDOW) -> DataFrame:
     late = own.join(least.hint("merge"), "_x").where("_id > _least")
     late = late.select("_id", "_t", F.struct((F.col("_from") + F.col("_k")).cast("int").alias("at"), F.lit(1).alias("n")).alias("_span"))
     lost = met.where("_w is null").select("_id", "_t", "_span").unionByName(late)
-    return lost.groupBy("_id", "_t").agg(F.collect_list("_span").alias("_lost"))
+    return lost.groupBy("_id", "_t").agg(F.collect_set("_span").alias("_lost"))  # repeated rows of one id lose the same
 
 
 def remove_repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:

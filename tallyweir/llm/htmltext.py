@@ -31,6 +31,7 @@ from __future__ import annotations
 import math
 import re
 from functools import lru_cache
+from html import unescape
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -50,11 +51,16 @@ _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Words that mark notices, adverts, menus and comments where a class, id or role ends in one, or in one and a word for a box.
 _NAMES = re.compile(
     r"(?:(?!has|with|without|no|is|show)[a-z0-9]+-)*"
-    r"(?:ads?|advert\w*|banner|breadcrumbs?|comments?|consent|cookies?|disqus|footer|gdpr|masthead|"
-    r"menu|modal|nav|navbar|navigation|newsletter|notices?|pagination|popup|promo\w*|related|replies|respond|share|sharing|"
-    r"sidebar|social|sponsor\w*|subscribe|toolbar|widgets?)"
+    r"(?:ads?|advert\w*|banner|breadcrumbs?|comments?(?:list|section|area|thread|box|wrap|form)?|consent|cookies?|disqus|footer|gdpr|masthead|"
+    r"menu|modal|nav|navbar|navigation|newsletter|notices?|pagination|popup|promo\w*|related|replies|respond|"
+    r"sidebar|sponsor\w*|subscribe|toolbar|widgets?)"
     r"(?:-(?:area|bar|block|body|bottom|box|container|content|form|inner|item|left|links?|list|message|panel|right|section|slot|text|thread|top|unit|wrapper|\d+))*"
 )
+#: Words that mark buttons for sharing, but may as well name a part about it: such an element goes if it says little besides links.
+_BUTTONS = re.compile(r"(?:[a-z0-9]+-)*(?:share|sharing|social)(?:-[a-z0-9]+)*")
+_LITTLE = 60
+#: Elements that may be lists of links; paragraphs and headings are text however many links they hold.
+_LISTS = _BLOCK - _HEADINGS - {"p", "blockquote", "pre", "figcaption", "caption", "address"}
 _CLOSES_P = _BLOCK - {"html", "body"}
 _SAME = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPE = frozenset("table td th ul ol dl body html article section div".split())
@@ -67,11 +73,17 @@ def _named(value: str) -> bool:
     return any(w == "hidden" or _NAMES.fullmatch(w) for w in words)
 
 
+@lru_cache(maxsize=10_000)
+def _buttons(value: str) -> bool:
+    return any(_BUTTONS.fullmatch(w) for w in value.lower().replace("_", "-").split())
+
+
 class _Node:
-    __slots__ = ("tag", "parent", "parts", "skip", "named", "c", "t", "lc", "lt", "density", "article", "h1")
+    __slots__ = ("tag", "parent", "parts", "skip", "named", "buttons", "within", "c", "t", "lc", "lt", "density", "article", "h1")
 
-    def __init__(self, tag: str, parent: _Node | None, named: bool = False, skip: bool = False):
-        self.tag, self.parent, self.parts, self.named, self.skip = tag, parent, [], named, skip
+    def __init__(self, tag: str, parent: _Node | None, named: bool = False, skip: bool = False, buttons: bool = False):
+        self.tag, self.parent, self.parts, self.named, self.skip, self.buttons = tag, parent, [], named, skip, buttons
+        self.within = parent is not None and (parent.within or parent.tag == "article")  # an article
         self.c = self.t = self.lc = self.lt = 0
         self.density, self.article, self.h1 = 0.0, False, False
 
@@ -88,6 +100,7 @@ class _Tree(HTMLParser):
         self.root = _Node("html", None)
         self.open = [self.root]
         self.depths: dict[str, list[int]] = {"html": [0]}  # of the open elements of each tag
+        self.looked, self.last_end = None, -1
 
     def _deepest(self, tags: set | frozenset) -> int:
         return max((d[-1] for t in tags if (d := self.depths.get(t))), default=-1)
@@ -111,7 +124,10 @@ class _Tree(HTMLParser):
             self._close(_SAME[tag], _SCOPE - {"td", "th"} if tag == "tr" else _SCOPE - _SAME[tag])
         named = tag not in ("body", "main") and any(v and k in ("class", "id", "role") and _named(v) for k, v in attrs)
         hidden = any(k == "hidden" or (k == "aria-hidden" and v == "true") for k, v in attrs)
-        node = _Node(tag, self.open[-1], named or tag in _SELDOM, tag in _NEVER or hidden)
+        buttons = not named and tag not in ("body", "main", "article") and any(v and k in ("class", "id", "role") and _buttons(v) for k, v in attrs)
+        if tag == "header" and not named and (self.open[-1].within or self.open[-1].tag == "article"):
+            tag = "div"  # an article's own heading
+        node = _Node(tag, self.open[-1], named or tag in _SELDOM, tag in _NEVER or hidden, buttons)
         self.open[-1].parts.append(node)
         if tag not in _VOID:
             self.depths.setdefault(tag, []).append(len(self.open))
@@ -123,6 +139,8 @@ class _Tree(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
+        if tag == "header" and not self.depths.get("header"):
+            tag = "div"
         depth = self._deepest({tag})
         if depth > 0:
             self._pop_to(depth)
@@ -130,6 +148,22 @@ class _Tree(HTMLParser):
     def handle_data(self, data: str) -> None:
         self.open[-1].parts.append(data)
 
+    def parse_comment(self, i: int, report: int = 1) -> int:
+        """A comment that never ends is none: what follows ``<!--`` stays. Whether there is an end is looked up once."""
+        if self.looked is not self.rawdata:
+            self.looked, self.last_end = self.rawdata, self.rawdata.rfind("-->")
+        if i + 2 > self.last_end:
+            return i + 4
+        return self.rawdata.find("-->", i + 2) + 3
+
+    def read(self, html: str) -> None:
+        """The whole page. After the last ``>`` no tag can end, so that the rest is text; looking for ends from each ``<`` there would take quadratic time."""
+        last = html.rfind(">") + 1
+        self.feed(html[:last])
+        self.close()
+        if last < len(html):
+            self.handle_data(unescape(html[last:]))
+
     def parse_marked_section(self, i: int, report: int = 1) -> int:
         """``<![`` of any kind is a comment up to the next ``>``, as in browsers; the base class raises or looks far ahead."""
         return self.parse_bogus_comment(i, report)
@@ -160,7 +194,7 @@ def _leave_out(order: list[_Node]) -> None:
     page = order[-1].plain()
     for x in order:
         inside = x.article or (x.h1 and x.tag not in _SELDOM - {"form"})
-        x.skip = x.skip or (x.named and not (inside and 2 * x.plain() > page))
+        x.skip = x.skip or (x.named and not (inside and 2 * x.plain() > page)) or (x.buttons and x.plain() < _LITTLE)
 
 
 def _density(x: _Node, link_share: float) -> float:
@@ -243,12 +277,11 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     tree = _Tree()
-    tree.feed(html)
-    tree.close()
+    tree.read(html)
     _leave_out(_measure(tree.root))
     order = _measure(tree.root)
     core, threshold = _core(order)
-    link_lists = {id(x) for x in order if x is not core and x.lt > 1 and 2 * x.lc > x.c and x.density < threshold}
+    link_lists = {id(x) for x in order if x is not core and x.tag in _LISTS and x.lt > 1 and 2 * x.lc > x.c and x.density < threshold}
     return "\n".join(_blocks(_joined(core, threshold), link_lists))
 
 
