@@ -39,6 +39,7 @@ from itertools import chain, islice
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,13 +47,13 @@ from tallyweir.llm.common import table
 
 #: Most bytes of a rank file: it is read by the driver and broadcast.
 MOST_FILE_BYTES = 64 << 20
-MOST_ARROWS = 200_000
-#: Matches whose ids a worker remembers, and the longest of them.
-MOST_MATCHES, LONGEST_MATCH = 400_000, 64
+MOST_ARROWS = 100_000
+#: Matches whose ids a worker remembers (some 25 bytes each), those of them that are not packed yet, and the longest.
+MOST_MATCHES, MOST_LATEST, LONGEST_MATCH = 3_000_000, 100_000, 64
 #: Texts of more characters are split some matches at a time.
 LONG_TEXT, MATCHES = 1_000_000, 20_000
 #: Matches of several texts that are looked up together.
-HELD = 300_000
+HELD = 200_000
 _NEVER = 1 << 60
 
 
@@ -186,7 +187,7 @@ class Transducer:
         key = before << 32 | token
         known = self.pairs.get(key)
         if known is None:
-            if len(self.pairs) >= MOST_MATCHES:
+            if len(self.pairs) >= MOST_ARROWS:
                 self.pairs.clear()
             known = self.pairs[key] = self.vocabulary.apart(before, token)
         return known
@@ -241,27 +242,68 @@ class Transducer:
             yield [*out, *(self.last[state] if paths is None else self._end(paths))]
 
 
-class _Matches(dict):
-    """Ids of matches as little-endian 32-bit numbers; of those met lately, the last ``MOST_MATCHES`` and as many before them."""
+class _Matches:
+    """Ids of the matches met so far, as little-endian 32-bit numbers: the latest in a dictionary, the others packed in arrays by hash.
+
+    What the arrays give is compared with the match byte by byte, so that a hash that falls together costs time and no more.
+    """
 
     def __init__(self, transducer: Transducer):
-        self.transducer, self.before = transducer, {}
+        self.transducer, self.latest = transducer, {}
+        self._forget()
 
-    def __missing__(self, match: str) -> bytes:
-        return self.keep(match, self.before.get(match) or _little(self.transducer.encode(match.encode("utf-8", "replace"))))
+    def _forget(self) -> None:
+        self.hashes, self.starts, self.sizes, self.packed = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint8), np.zeros(0, "<u4")
 
-    def keep(self, match: str, value: bytes) -> bytes:
+    def _keep(self, match: str, value: bytes) -> None:
         if len(match) <= LONGEST_MATCH:
-            if len(self) >= MOST_MATCHES:
-                self.before = dict(self)
-                self.clear()
-            self[match] = value
-        return value
+            self.latest[match] = value
+            if len(self.latest) >= MOST_LATEST:
+                self._pack()
+
+    def _pack(self) -> None:
+        if len(self.hashes) + len(self.latest) > MOST_MATCHES:
+            self._forget()
+        values = list(self.latest.values())
+        hashes = np.concatenate((self.hashes, _hashed([m.encode() for m in self.latest])))
+        sizes = np.concatenate((self.sizes, np.fromiter((len(v) // 4 for v in values), np.uint8, len(values))))
+        packed = np.concatenate((self.packed, np.frombuffer(b"".join(values), "<u4")))
+        added = sizes[len(self.hashes) :].astype(np.int64)
+        starts = np.concatenate((self.starts, len(self.packed) + np.cumsum(added) - added))
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.starts, self.sizes, self.packed = hashes[order], starts[order], sizes[order], packed
+        self.latest = {}
+
+    def all(self, matches: list[str]) -> list[bytes]:
+        """Ids of each of the matches; new ones are encoded in order, as neighbours share most of their states."""
+        found = list(map(self.latest.get, matches))
+        lacking = [k for k, v in enumerate(found) if v is None]
+        data = [matches[k].encode("utf-8", "replace") for k in lacking]
+        new = range(len(lacking))
+        if lacking and len(self.hashes):
+            h = _hashed(data)
+            at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+            hit = self.hashes[at] == h
+            hits, new = hit.nonzero()[0].tolist(), (~hit).nonzero()[0].tolist()
+            starts, sizes = self.starts[at[hit]], self.sizes[at[hit]].astype(np.int64)
+            ends = np.cumsum(sizes)
+            ids = self.packed[np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if hits else 0)]
+            raw, cuts, tokens = ids.tobytes(), [0, *(4 * ends).tolist()], self.transducer.vocabulary.bytes
+            written = [tokens[i] for i in ids.tolist()]
+            for n, j in enumerate(hits):
+                if b"".join(written[cuts[n] >> 2 : cuts[n + 1] >> 2]) == data[j]:
+                    found[lacking[j]] = raw[cuts[n] : cuts[n + 1]]
+                else:
+                    new.append(j)
+        new = sorted(new, key=data.__getitem__)
+        for j, ids in zip(new, self.transducer.encode_sorted(data[j] for j in new), strict=True):
+            found[lacking[j]] = value = _little(ids)
+            self._keep(matches[lacking[j]], value)
+        return found
+
 
-    def learn(self, matches: list[str]) -> dict[str, bytes]:
-        """Ids of those that are not known yet."""
-        new = sorted((m.encode("utf-8", "replace"), m) for m in matches if m not in self and m not in self.before)
-        return {m: self.keep(m, _little(ids)) for (_, m), ids in zip(new, self.transducer.encode_sorted(b for b, _ in new), strict=True)}
+def _hashed(data: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, data), np.uint64, len(data))
 
 
 def _little(numbers: list[int]) -> bytes:
@@ -298,8 +340,7 @@ class Encoder:
             return
         coded = pa.array(list(chain.from_iterable(held)), pa.string()).dictionary_encode()
         words, which = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        new = self.matches.learn(words)
-        values = [new.get(w) or self.matches[w] for w in words]
+        values = self.matches.all(words)
         sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
         starts, packed = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(values), "<u4")
         n = sizes[which]
@@ -312,10 +353,10 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
         if len(text) <= LONG_TEXT:
-            return b"".join(map(self.matches.__getitem__, self.pattern.findall(text)))
+            return next(self._encode_held([self.pattern.findall(text)]))
         found, out = (m.group() for m in self.pattern.finditer(text)), []
-        while part := b"".join(map(self.matches.__getitem__, islice(found, MATCHES))):
-            out.append(part)
+        while part := list(islice(found, MATCHES)):
+            out.append(next(self._encode_held([part])))
         return b"".join(out)
 
 
@@ -363,7 +404,7 @@ class TextStream:
     def add(self, token: int) -> str:
         key = (self.held, token)
         if key not in self.known:
-            if len(self.known) >= MOST_MATCHES:
+            if len(self.known) >= MOST_ARROWS:
                 self.known.clear()
             self.known[key] = self._over(self.held, self.state, token)
         self.held, self.state, text = self.known[key]
