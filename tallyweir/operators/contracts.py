@@ -57,16 +57,37 @@ def _measure(rule: Rule, as_of: str) -> tuple[Column, Column]:
     raise ValueError(f"no check is called {rule.check!r}")
 
 
+def duplicates_of(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, duplicates): non-null values of each column less its distinct ones, all columns in one scan and one shuffle.
+
+    Only (column, two 64-bit hashes of the value) is shuffled, equal ones counted before it, instead of each row once for
+    every column. Of n values about n^2 / 2^129 pairs fall together.
+    """
+    value = lambda c: F.struct(F.lit(c).alias("column"), F.xxhash64(F.lit(1), c).alias("_h"), F.xxhash64(c, F.lit("2")).alias("_g"), F.col(c).isNotNull().alias("_there"))
+    pairs = rows.select(F.explode(F.array(*map(value, columns))).alias("_v")).select("_v.*").where("_there")
+    seen = pairs.groupBy("column", "_h", "_g").agg(F.count("*").alias("_n")).groupBy("column").agg(F.sum(F.col("_n") - 1).alias("duplicates"))
+    names = rows.sparkSession.createDataFrame([(c,) for c in columns], "column string")
+    return names.join(seen, "column", "left").select("column", F.coalesce("duplicates", F.lit(0)).cast("long").alias("duplicates"))
+
+
 def contract_results(rows: DataFrame, table: str, rules: list[Rule], as_of: str = "1970-01-01") -> DataFrame:
     """(table_name, check, column, metric, status), one row per rule; a rule on an absent column fails without a metric."""
     there = [r for r in rules if not r.column or r.column in rows.columns]
     parts = [F.struct(F.lit(r.check).alias("check"), F.lit(r.column).alias("column"), F.lit(None).cast("long").alias("metric"), F.lit(r.severity).alias("status")) for r in rules if r not in there]
-    for r in there:
+    several = [r for r in there if r.check == "unique"]
+    several = several if len(several) > 1 else []
+    for r in (r for r in there if r not in several):
         metric, holds = _measure(r, as_of)
         status = F.when(holds, "ok").otherwise(r.severity)
         parts.append(F.struct(F.lit(r.check).alias("check"), F.lit(r.column).alias("column"), metric.cast("long").alias("metric"), status.alias("status")))
-    results = rows.agg(F.array(*parts).alias("_r")).select(F.inline("_r"))
-    return results.select(F.lit(table).alias("table_name"), "*")
+    found = []
+    if parts:
+        found.append(rows.agg(F.array(*parts).alias("_r")).select(F.inline("_r")))
+    if several:
+        severities = rows.sparkSession.createDataFrame([(r.column, r.severity) for r in several], "column string, severity string")
+        unique = duplicates_of(rows, sorted({r.column for r in several})).join(severities, "column")
+        found.append(unique.select(F.lit("unique").alias("check"), "column", F.col("duplicates").alias("metric"), F.when(F.col("duplicates") == 0, "ok").otherwise(F.col("severity")).alias("status")))
+    return functools.reduce(DataFrame.unionByName, found).select(F.lit(table).alias("table_name"), "*")
 
 
 def gate_publish(rows: DataFrame, table: str, rules: list[Rule], path: str, as_of: str = "1970-01-01") -> None:
@@ -232,6 +253,26 @@ def report_incidents(findings: DataFrame, key: str, run: str, as_of: str) -> Dat
     return rows.select(key, "first_seen", F.date_diff("_last", "first_seen").alias("age"), F.when(F.coalesce("_was", F.lit(False)), "open").otherwise("new").alias("state"))
 
 
+def daily_report(findings: DataFrame, monitors: DataFrame, alerts: DataFrame, runs: DataFrame, as_of: str) -> dict[str, DataFrame]:
+    """The tables of one day's report, from the logs of findings (finding_key, run, at, ...), monitors, alerts (run, ...) and runs (run).
+
+    findings: those of the day, the last write of each key, with their first run, age in days and whether the run before had
+    them; cleared: keys of the run before that the day has not, if it ran; monitors: as ``report_monitors``; alerts: those of
+    the day; run: one row, whether the day ran and which run was before it.
+    """
+    day = F.lit(as_of).cast("date")
+    before = runs.where(F.col("run") < day).agg(F.max("run"))
+    header = runs.agg(F.coalesce(F.bool_or(F.col("run") == day), F.lit(False)).alias("ran"), F.max(F.when(F.col("run") < day, F.col("run"))).alias("previous_run")).select(day.alias("as_of"), "ran", "previous_run")
+    until = findings.where(F.col("run") <= day)
+    keys = until.groupBy("finding_key").agg(
+        F.min("run").alias("first_seen"), F.coalesce(F.bool_or(F.col("run") == before.scalar()), F.lit(False)).alias("_was"), F.bool_or(F.col("run") == day).alias("_is")
+    )
+    today = latest_per_key_run(until.where(F.col("run") == day).withColumn("_all", F.struct(*findings.columns)), ["finding_key"], "at", "_all").drop("_all")
+    told = today.join(keys, "finding_key").select(*findings.columns, "first_seen", F.date_diff(day, "first_seen").alias("age"), F.when(F.col("_was"), "open").otherwise("new").alias("state"))
+    cleared = keys.where("_was and not _is").crossJoin(F.broadcast(header.where("ran").select("previous_run"))).select("finding_key", "first_seen", F.col("previous_run").alias("last_seen"))  # one row
+    return {"run": header, "findings": told, "cleared": cleared, "monitors": report_monitors(monitors, as_of), "alerts": alerts.where(F.col("run") == day)}
+
+
 def latest_per_key_run(rows: DataFrame, keys: list[str], at: str, tie: str) -> DataFrame:
     """The last write of each key within one day."""
     place = F.row_number().over(Window.partitionBy(*keys, F.to_date(at)).orderBy(F.desc(at), F.desc(tie)))

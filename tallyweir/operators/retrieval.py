@@ -73,6 +73,27 @@ def hit_metrics(ranked: DataFrame, rank: str = "rank") -> DataFrame:
     return ranked.agg(F.count("*").alias("queries"), at(1).alias("hit_1"), at(3).alias("hit_3"), F.avg(F.coalesce(F.lit(1.0) / F.col(rank), F.lit(0.0))).alias("mrr"))
 
 
+def hit_report(ranked: DataFrame, questions: DataFrame) -> DataFrame:
+    """One row: hit@1, hit@3, MRR and hit@1 within the expected item's kind over all questions, and the same three over the paraphrases.
+
+    ``ranked`` (query_id, item, score) orders items by score, then item; ``questions`` (query_id, expect, paraphrase) name the
+    item sought, whose kind is what comes before its ``:``. An item that is not ranked counts as not found.
+    """
+    kind = lambda c: F.substring_index(c, ":", 1)
+    both = ranked.join(questions, "query_id")
+    order = [F.desc("score"), F.asc("item")]
+    places = both.withColumns({"_rank": F.row_number().over(Window.partitionBy("query_id").orderBy(*order)), "_same": F.row_number().over(Window.partitionBy("query_id", kind(F.col("item"))).orderBy(*order))})
+    hit = places.where("item = expect").select("query_id", "_rank", "_same")
+    rows = questions.join(hit, "query_id", "left").withColumn("_p", F.coalesce("paraphrase", F.lit(False)))
+    at = lambda k, c="_rank": F.when(F.coalesce(F.col(c) <= k, F.lit(False)), 1.0).otherwise(0.0)
+    rr = F.coalesce(F.lit(1.0) / F.col("_rank"), F.lit(0.0))
+    of = lambda x: F.avg(F.when(F.col("_p"), x))
+    return rows.agg(
+        F.count("*").alias("n"), F.avg(at(1)).alias("hit_1"), F.avg(at(3)).alias("hit_3"), F.avg(rr).alias("mrr"), F.avg(at(1, "_same")).alias("kind_hit_1"),
+        F.count_if("_p").alias("para_n"), of(at(1)).alias("para_hit_1"), of(at(3)).alias("para_hit_3"), of(rr).alias("para_mrr"),
+    )
+
+
 def best_within(scored: DataFrame, group: str, score: str, tie: str, k: int) -> DataFrame:
     """The ``k`` best of each group with their ``rank``."""
     place = F.row_number().over(Window.partitionBy(group).orderBy(F.desc(score), tie))

@@ -369,3 +369,34 @@ def _(s, d):
 def _(s, d):
     found = _alerts(s, d).where("status = 'breach'")
     return co.report_incidents(found, "user_id", "run", "2024-01-20").withColumn("first_seen", as_text("first_seen"))
+
+
+_LOG = f"""{_ALERTS}, lg AS (SELECT user_id::VARCHAR AS finding_key, ts::DATE AS run, ts AS seen_at, event_id FROM events WHERE event_type = 'error'), rs AS (SELECT DISTINCT ts::DATE AS run FROM events),
+pv AS (SELECT max(run) AS run FROM rs WHERE run < DATE '2024-01-20'), ks AS (SELECT finding_key, min(lg.run) AS first_seen, coalesce(bool_or(lg.run = pv.run), false) AS was, bool_or(lg.run = DATE '2024-01-20') AS now_there
+  FROM lg, pv WHERE lg.run <= DATE '2024-01-20' GROUP BY ALL)"""
+
+
+def _report(s, d):
+    e = table(s, d, "events").withColumn("run", F.to_date("ts"))
+    log = e.where("event_type = 'error'").select(F.col("user_id").cast("string").alias("finding_key"), "run", F.col("ts").alias("at"), "event_id")
+    results = s.createDataFrame([], "feed string, monitor string, run date, metric double, status string")
+    return co.daily_report(log, results, _alerts(s, d).where("status <> 'ok'"), e.select("run").distinct(), "2024-01-20")
+
+
+@_query(
+    "q35_report_findings",
+    f"""WITH {_LOG} SELECT finding_key, event_id, first_seen::VARCHAR AS first_seen, (DATE '2024-01-20' - first_seen)::INT AS age, CASE WHEN was THEN 'open' ELSE 'new' END AS state
+    FROM (SELECT * FROM lg WHERE run = DATE '2024-01-20' QUALIFY row_number() OVER (PARTITION BY finding_key ORDER BY seen_at DESC, event_id DESC) = 1) JOIN ks USING (finding_key)""",
+)
+def _(s, d):
+    return _report(s, d)["findings"].select("finding_key", "event_id", as_text("first_seen"), "age", "state")
+
+
+@_query("q35_report_cleared", f"WITH {_LOG} SELECT finding_key, first_seen::VARCHAR AS first_seen, pv.run::VARCHAR AS last_seen FROM ks, pv WHERE was AND NOT now_there")
+def _(s, d):
+    return _report(s, d)["cleared"].select("finding_key", as_text("first_seen"), as_text("last_seen"))
+
+
+@_query("q35_report_alerts", f"WITH {_LOG} SELECT user_id, status FROM al WHERE run = DATE '2024-01-20'")
+def _(s, d):
+    return _report(s, d)["alerts"].select("user_id", "status")

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from tallyweir.operators import dashboards as db
 from tallyweir.plans.base import Registry, as_text
+from tallyweir.sources.layouts import Layout, Transform, expire, read_table
 from tallyweir.sources.models import CONVERSATION_SQL, conversation_events, naive_conversation_events, table
+from tallyweir.sources.shared import scratch
 from tallyweir.streaming import jobs
 
 FOUND = Registry()
@@ -208,5 +210,9 @@ def _(s, d):
     """SELECT o_orderdate::DATE::VARCHAR AS day, count(*) AS orders FROM orders WHERE o_orderdate::DATE > DATE '2001-08-02' - 730 GROUP BY ALL""",
 )
 def _(s, d):
-    rows = db.retained(table(s, d, "orders"), "o_orderdate", "2001-08-02", 730)
+    """Folders of whole months go, the month of the edge is written anew."""
+    layout, fields = Layout(scratch(s, "retention"), (Transform("day", "month"),)), "o_orderkey long, day date"
+    layout.write(table(s, d, "orders").select(F.col("o_orderkey").cast("long").alias("o_orderkey"), F.to_date("o_orderdate").alias("day")))
+    expire(s, layout, fields, "day", "1999-08-04")
+    rows = read_table(s, [layout], fields).where("day is not null").withColumnRenamed("day", "o_orderdate")
     return rows.groupBy(F.to_date("o_orderdate").cast("string").alias("day")).agg(F.count("*").alias("orders"))

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyweir.sources.shared import Folder
+
 
 @dataclass(frozen=True)
 class Transform:
@@ -113,6 +115,39 @@ def read_table(spark: SparkSession, layouts: list[Layout], schema: T.StructType
     return functools.reduce(DataFrame.unionByName, [x.read(spark, fields, where) for x in layouts])
 
 
+def expire(spark: SparkSession, layout: Layout, schema: T.StructType | str, column: str, before) -> dict[str, int]:
+    """Retention: rows whose ``column`` is smaller than ``before`` go from a layout that is partitioned by an ordered transform of it.
+
+    Partitions that lie wholly before it are deleted as folders, without reading them; of the one that holds ``before`` the
+    rows that stay are written anew, aside first, so that a failure loses nothing.  Rows without a value stay.
+    Gives how many partitions were ``dropped`` and ``rewritten``.
+    """
+    fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    by = next((t for t in layout.transforms if t.source == column and t.ordered), None)
+    if by is None or layout.transforms[0] != by:
+        raise ValueError(f"the first partition column of {layout.path} does not follow the order of {column}")
+    kind = next(f.dataType for f in fields.fields if f.name == column)
+    edge = spark.range(1).select(by.of(F.lit(before).cast(kind)).cast("string")).first()[0]
+    folder, done = Folder(spark, layout.path), {"dropped": 0, "rewritten": 0}
+    for name in folder.names():
+        value = name.removeprefix(f"{by.name}=")
+        if not name.startswith(f"{by.name}=") or value == "__HIVE_DEFAULT_PARTITION__" or value > edge:
+            continue
+        if value == edge and by.kind != "identity":
+            rest = layout.read(spark, fields, (Is(column, ">=", before),)).where(by.of(F.col(column)) == edge)
+            aside = Layout(f"{layout.path}/_expire", layout.transforms)
+            aside.write(rest)
+            folder.delete(name)
+            if folder.exists(f"_expire/{name}"):
+                folder.rename(f"_expire/{name}", name)
+            folder.delete("_expire")
+            done["rewritten"] += 1
+        elif value < edge:
+            folder.delete(name)
+            done["dropped"] += 1
+    return done
+
+
 def files_read(rows: DataFrame) -> list[tuple[str, int]]:
     """(partition filters, files) of each scan of the plan that runs, from its metrics; runs the query."""
     rows.write.format("noop").mode("overwrite").save()

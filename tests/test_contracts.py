@@ -63,3 +63,15 @@ def test_audit_of_slices(spark):
     expected = spark.createDataFrame([(1, 5, day(k)) for k in range(1, 6)], "page_type int, hour int, date date")
     got = {r.date.day: r.status for r in co.slice_volume_audit(expected, manifests).collect()}
     assert got == {1: "no_baseline", 2: "ok", 3: "anomaly", 4: "quarantine", 5: "missing"}
+
+
+def test_many_distinct_counts_in_one_scan(spark):
+    columns = [f"c{k}" for k in range(10)]
+    rows = spark.createDataFrame([[None if (k + j) % 13 == 0 else (k if j % 2 else k % (50 + j)) for j in range(10)] for k in range(400)], ", ".join(f"{c} long" for c in columns))
+    got = {r["column"]: (r.metric, r.status) for r in co.contract_results(rows, "t", [co.Rule("unique", c) for c in columns] + [co.Rule("not_null", "c0")]).where("check = 'unique'").collect()}
+    for j, c in enumerate(columns):
+        seen = [r[j] for r in rows.collect() if r[j] is not None]
+        assert got[c] == (len(seen) - len(set(seen)), "ok" if len(seen) == len(set(seen)) else "error")
+    plan = co.contract_results(rows, "t", [co.Rule("unique", c) for c in columns])._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan
+    assert {r.metric for r in co.contract_results(rows.limit(0), "t", [co.Rule("unique", c) for c in columns]).collect()} == {0}

@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from tallyweir.sources.layouts import Is, Layout, Transform, files_read, read_table
+from tallyweir.sources.layouts import Is, Layout, Transform, expire, files_read, read_table
 
 SCHEMA = "user_id string, date date, n int"
 DAY = dt.date(2026, 1, 1)
@@ -65,3 +65,19 @@ def test_unknown_names_raise(spark, both):
     for wrong in (lambda: read_table(spark, both[1], SCHEMA, (Is("nope", "=", 1),)), lambda: Transform("date", "week").of(F.lit(DAY)), lambda: read_table(spark, both[1], SCHEMA, (Is("n", "~", 1),))):
         with pytest.raises(ValueError):
             wrong()
+
+
+def test_old_partitions_are_dropped_and_the_edge_is_rewritten(spark, tmp_path):
+    rows = [(f"u{k % 4}", DAY + dt.timedelta(days=k) if k % 11 else None, k) for k in range(300)]
+    layout, edge = Layout(str(tmp_path / "t"), (Transform("date", "month"), Transform("user_id"))), dt.date(2026, 5, 10)
+    layout.write(spark.createDataFrame(rows, SCHEMA))
+    assert expire(spark, layout, SCHEMA, "date", edge) == {"dropped": 4, "rewritten": 1}
+    left = sorted((tuple(r) for r in layout.read(spark, read_table(spark, [layout], SCHEMA).schema).collect()), key=str)
+    assert left == sorted((r for r in rows if r[1] is None or r[1] >= edge), key=str)
+    assert expire(spark, layout, SCHEMA, "date", edge) == {"dropped": 0, "rewritten": 1} and not (tmp_path / "t" / "_expire").exists()
+    daily = Layout(str(tmp_path / "d"), (Transform("date"),))
+    daily.write(spark.createDataFrame(rows, SCHEMA))
+    gone = len({r[1] for r in rows if r[1] and r[1] < edge})
+    assert expire(spark, daily, SCHEMA, "date", edge) == {"dropped": gone, "rewritten": 0}
+    with pytest.raises(ValueError):
+        expire(spark, Layout(str(tmp_path / "t"), (Transform("user_id", "bucket", 4),)), SCHEMA, "date", edge)

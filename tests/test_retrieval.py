@@ -52,3 +52,11 @@ def test_migration_fills_what_the_new_model_lacks(spark):
     assert rt.one_model(both, "b", 16).count() == 2
     with pytest.raises(ValueError):
         rt.one_model(both, "a", 16)
+
+
+def test_hits_within_kind_and_of_paraphrases(spark):
+    ranked = spark.createDataFrame([(1, "table:a", 0.9), (1, "column:a.x", 0.95), (1, "table:b", 0.1), (2, "table:b", 0.8), (2, "table:a", 0.8), (3, "table:a", 0.5)], "query_id int, item string, score double")
+    asked = spark.createDataFrame([(1, "table:a", False), (2, "table:b", True), (3, "template:t", True), (4, "table:a", None)], "query_id int, expect string, paraphrase boolean")
+    r = rt.hit_report(ranked, asked).first()
+    assert (r.n, r.hit_1, r.hit_3, r.mrr, r.kind_hit_1) == (4, 0.0, 0.5, 0.25, 0.25)
+    assert (r.para_n, r.para_hit_1, r.para_hit_3, r.para_mrr) == (2, 0.0, 0.5, 0.25)
