@@ -150,6 +150,12 @@ def hourly_volume(hourly: DataFrame, account: str) -> DataFrame:
     return merge_states(hourly.where(F.col("account_id") == account), ["hour"]).select("hour", "responses", "p95")
 
 
+def exact_served(events: DataFrame, keys: list[str]) -> DataFrame:
+    """The exact ``QUANTILES`` of response latencies by key, against which those of merged sketches are held."""
+    responses = events.where(_is("agent_response"))
+    return exact_quantiles(responses, keys, "latency_ms", {f"p{round(p * 100)}": p for p in (0.5, 0.95, 0.99)})
+
+
 def retained(rows: DataFrame, day: str, as_of: str, days: int) -> DataFrame:
     """Rows of the last ``days`` days up to ``as_of``; raw rows are kept 90, minute rows 14, aggregates 730."""
     return rows.where(F.to_date(day) > F.date_sub(F.lit(as_of).cast("date"), days))

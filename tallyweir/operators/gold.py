@@ -51,3 +51,10 @@ def reconcile_left(gold: DataFrame, other: DataFrame, keys: list[str], metrics:
     """Each metric of the gold rows with the other side's and the difference."""
     g, o = (x.select(*keys, *[F.col(m).alias(f"{p}_{m}") for m in metrics]) for x, p in ((gold, "gold"), (other, "other")))
     return g.join(o, keys, "left").withColumns({f"delta_{m}": F.col(f"other_{m}") - F.col(f"gold_{m}") for m in metrics})
+
+
+def filter_sink(events: DataFrame, path: str, least: str = "d") -> DataFrame:
+    """Writes the events of stage ``least`` and deeper to ``path`` and gives them as they are stored."""
+    deep = events.where(F.col("event_type") >= least)
+    deep.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    return events.sparkSession.read.schema(deep.schema).parquet(path)

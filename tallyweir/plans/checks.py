@@ -238,12 +238,12 @@ def _(s, d):
     return ve.latest_batch_rows(_snapshots(s, d))
 
 
-_BATCHES = """bt AS (SELECT page_type, year(date)::INT AS batch, count(*) AS n FROM imp GROUP BY ALL), rk AS (SELECT *, row_number() OVER (PARTITION BY page_type ORDER BY batch DESC) AS k FROM bt),
+_BATCHES = """bt AS (SELECT page_type, strftime(date, '%Y-%m') AS batch, count(*) AS n FROM imp GROUP BY ALL), rk AS (SELECT *, row_number() OVER (PARTITION BY page_type ORDER BY batch DESC) AS k FROM bt),
 md AS (SELECT page_type, max(batch) AS batch, max(n) FILTER (WHERE k = 1) AS n, median(n) FILTER (WHERE k > 1) AS baseline FROM rk GROUP BY ALL)"""
 
 
 def _batches(s, d):
-    return impressions(s, d).groupBy("page_type", F.year("date").alias("batch")).agg(F.count("*").alias("n"))
+    return impressions(s, d).groupBy("page_type", F.date_format("date", "yyyy-MM").alias("batch")).agg(F.count("*").alias("n"))
 
 
 @_query("w7_batch_vs_trailing_median", f"{_I}, {_BATCHES} SELECT * FROM md")

@@ -213,7 +213,8 @@ def _(s, d):
 
 @_query("s14_filter_sink_rows", f"{_I} SELECT * REPLACE (date::VARCHAR AS date) FROM imp WHERE event_type >= 'd'")
 def _(s, d):
-    return impressions(s, d).where("event_type >= 'd'").withColumn("date", as_text("date"))
+    path = scratch(s, "deep-stages")
+    return gold.filter_sink(impressions(s, d), path, "d").withColumn("date", as_text("date"))
 
 
 @_query("p1_safe_date", f"WITH {STAGED_SQL} SELECT o_orderkey, CASE WHEN raw = o_orderdate::DATE::VARCHAR THEN raw END AS day FROM sto")

@@ -206,7 +206,7 @@ def _(s, d):
 
 
 _ARRIVED = """n AS (SELECT l_shipdate::DATE AS day, count(*) AS n_rows FROM lineitem GROUP BY ALL),
-c AS (SELECT unnest(generate_series(min(day), greatest(max(day), DATE '1998-12-31'), INTERVAL 1 DAY))::DATE AS day FROM n)"""
+c AS (SELECT unnest(generate_series(min(day), greatest(max(day), DATE '2001-11-30'), INTERVAL 1 DAY))::DATE AS day FROM n)"""
 
 
 @_query("q23_arrival_lag", "SELECT o_orderstatus, (DATE '2001-08-05' - max(o_orderdate::DATE))::INT AS lag_days, DATE '2001-08-05' - max(o_orderdate::DATE) > 4 AS late FROM orders GROUP BY ALL")
@@ -216,13 +216,13 @@ def _(s, d):
 
 @_query("q24_arrival_gap", f"WITH {_ARRIVED} SELECT day::VARCHAR AS day FROM c ANTI JOIN n USING (day)")
 def _(s, d):
-    days = mo.arrivals(table(s, d, "lineitem").select(F.to_date("l_shipdate").alias("at")), "at", 2, "1998-12-31")
+    days = mo.arrivals(table(s, d, "lineitem").select(F.to_date("l_shipdate").alias("at")), "at", 2, "2001-11-30")
     return days.where("status = 'gap'").select(_text("day"))
 
 
 @_query("q25_arrival_partial", f"WITH {_ARRIVED} SELECT day::VARCHAR AS day, coalesce(n_rows, 0) AS n_rows, CASE WHEN n_rows IS NULL THEN 'gap' WHEN n_rows < 20 THEN 'partial' ELSE 'ok' END AS status FROM c LEFT JOIN n USING (day)")
 def _(s, d):
-    return mo.arrivals(table(s, d, "lineitem").select(F.to_date("l_shipdate").alias("at")), "at", 20, "1998-12-31").withColumn("day", _text("day"))
+    return mo.arrivals(table(s, d, "lineitem").select(F.to_date("l_shipdate").alias("at")), "at", 20, "2001-11-30").withColumn("day", _text("day"))
 
 
 _CHANGES = "ch AS (SELECT user_id, event_id, event_type FROM events), vv AS (SELECT user_id, event_type, event_id AS valid_from, lead(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS valid_to FROM ch)"

@@ -167,6 +167,29 @@ def _(s, d):
     return db.hourly_volume(_hourly(s, d), "acct_0003").drop("p95").withColumn("hour", as_text("hour"))
 
 
+_EXACT = "round(quantile_cont(latency_ms, 0.5), 4) AS p50, round(quantile_cont(latency_ms, 0.95), 4) AS p95, round(quantile_cont(latency_ms, 0.99), 4) AS p99 FROM conv WHERE event_type = 'agent_response'"
+
+
+def _exact(rows, keys):
+    return db.exact_served(rows, keys).select(*keys, *[F.round(q, 4).alias(q) for q in db.QUANTILES])
+
+
+@_query("a19_account_summary_exact", f"{_C} SELECT account_id, {_EXACT} AND account_id = 'acct_0003' GROUP BY ALL")
+def _(s, d):
+    return _exact(conversation_events(s, d).where("account_id = 'acct_0003'"), ["account_id"])
+
+
+@_query("a20_agent_latency_exact", f"{_C} SELECT model, channel, {_EXACT} GROUP BY ALL")
+def _(s, d):
+    return _exact(conversation_events(s, d), ["model", "channel"])
+
+
+@_query("a21_hourly_volume_exact", f"{_C} SELECT date_trunc('hour', event_ts)::TIMESTAMP::VARCHAR AS hour, {_EXACT} AND account_id = 'acct_0003' GROUP BY ALL")
+def _(s, d):
+    rows = conversation_events(s, d).where("account_id = 'acct_0003'").withColumn("hour", F.date_trunc("hour", "event_ts").cast("timestamp_ntz"))
+    return _exact(rows, ["hour"]).withColumn("hour", as_text("hour"))
+
+
 @_query("a22_additive_state_sum", f"{_C} SELECT account_id, {_STATE} FROM (FROM conv UNION ALL FROM conv) GROUP BY ALL")
 def _(s, d):
     states = db.rollup_state(conversation_events(s, d), ["account_id"])
