@@ -46,6 +46,26 @@ def hybrid(dense: Column, sparse: Column, alpha: float) -> Column:
     return F.coalesce(dense, F.lit(0.0)) * alpha + F.coalesce(sparse, F.lit(0.0)) * (1 - alpha)
 
 
+def hybrid_scores(dense: DataFrame, sparse: DataFrame, alpha: float, id_column: str = "vec_id") -> DataFrame:
+    """(query_id, id, score) of the pairs that either frame (query_id, id, score) has; a side without the pair counts 0."""
+    a, b = dense.select("query_id", id_column, F.col("score").alias("_dense")), sparse.select("query_id", id_column, F.col("score").alias("_sparse"))
+    return a.join(b, ["query_id", id_column], "full_outer").select("query_id", id_column, hybrid(F.col("_dense"), F.col("_sparse"), alpha).alias("score"))
+
+
+def lexical_share(pairs: DataFrame, texts: DataFrame, id_column: str = "vec_id", key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(query_id, id, score): share of the query's distinct tokens that the other text holds, where it is above 0."""
+    words = texts.select(F.col(key).alias("_k"), F.array_distinct(tokens(F.col(text))).alias("_t"))
+    q = words.select(F.col("_k").alias("query_id"), F.col("_t").alias("_q"))
+    both = pairs.join(q, "query_id").join(words.withColumnRenamed("_k", id_column), id_column)
+    return both.select("query_id", id_column, F.try_divide(F.size(F.array_intersect("_q", "_t")), F.size("_q")).alias("score")).where("score > 0")
+
+
+def catalog_search(entries: DataFrame, queries: DataFrame, model: str, k: int, kinds: list | None = None, id_column: str = "vec_id") -> DataFrame:
+    """The k nearest entries (id, kind, model, embedding) for each query: of the query's own model only, and of the kinds asked for."""
+    rows = entries.where(F.col("model") == model)
+    return knn_exact(rows if kinds is None else rows.where(F.col("kind").isin(kinds)), queries.where(F.col("model") == model), k, id_column)
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 

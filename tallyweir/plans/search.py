@@ -42,9 +42,14 @@ def _(s, d):
     return rt.knn_exact(_vectors(s, d).where("label < 8"), _asked(s, d), _K, within="tenant").select("query_id", "vec_id")
 
 
-@_query("r12_catalog_search", f"WITH {_VECTORS}, {_SCORED.format('v.label = 3')}, {_BEST.format(3)} SELECT query_id, vec_id FROM best")
+@_query(
+    "r12_catalog_search",
+    f"WITH {_VECTORS}, {_SCORED.format('v.label IN (3, 7) AND v.label < 5 AND q.label < 5')}, {_BEST.format(3)} SELECT query_id, vec_id FROM best",
+)
 def _(s, d):
-    return rt.knn_exact(_vectors(s, d).where("label = 3"), _asked(s, d), 3).select("query_id", "vec_id")
+    """Labels are kinds; two models have embedded them, and only what the query's model has embedded is compared with it."""
+    entries = _vectors(s, d).withColumns({"kind": F.col("label"), "model": F.when(F.col("label") < 5, "a").otherwise("b")})
+    return rt.catalog_search(entries, entries.where("vec_id % 20 = 0"), "a", 3, [3, 7]).select("query_id", "vec_id")
 
 
 _RERANKED = """tk AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9'']+')) AS t FROM documents),
@@ -57,6 +62,17 @@ def _reranked(s, d):
     return rt.rerank_lexical(rt.knn_exact(_vectors(s, d), _asked(s, d), 3 * _K), table(s, d, "documents"), _K)
 
 
+@_query(
+    "r4_hybrid_score",
+    f"""WITH {_VECTORS}, {_SCORED.format('true')}, {_BEST.format(_K)}, {_RERANKED.format(_K)}
+    SELECT query_id, vec_id, round(0.7 * best.score + 0.3 * coalesce(len(list_intersect(a.t, b.t))::DOUBLE / nullif(len(a.t), 0), 0), 4) AS score
+    FROM best LEFT JOIN tk a ON a.doc_id = query_id LEFT JOIN tk b ON b.doc_id = vec_id""",
+)
+def _(s, d):
+    near = rt.knn_exact(_vectors(s, d), _asked(s, d), _K)
+    return rt.hybrid_scores(near, rt.lexical_share(near, table(s, d, "documents")), 0.7).withColumn("score", F.round("score", 4))
+
+
 @_query("r7_rerank_lexical", f"WITH {_VECTORS}, {_SCORED.format('true')}, {_BEST.format(3 * _K)}, {_RERANKED.format(_K)} SELECT query_id, vec_id FROM rr")
 def _(s, d):
     return _reranked(s, d).select("query_id", "vec_id")

@@ -60,3 +60,17 @@ def test_hits_within_kind_and_of_paraphrases(spark):
     r = rt.hit_report(ranked, asked).first()
     assert (r.n, r.hit_1, r.hit_3, r.mrr, r.kind_hit_1) == (4, 0.0, 0.5, 0.25, 0.25)
     assert (r.para_n, r.para_hit_1, r.para_hit_3, r.para_mrr) == (2, 0.0, 0.5, 0.25)
+
+
+def test_hybrid_scores_of_pairs_on_one_side(spark):
+    dense, sparse = (spark.createDataFrame(rows, "query_id int, vec_id int, score double") for rows in ([(1, 5, 1.0), (1, 6, 0.5)], [(1, 6, 0.2), (2, 7, 1.0)]))
+    got = {(r.query_id, r.vec_id): round(r.score, 6) for r in rt.hybrid_scores(dense, sparse, 0.75).collect()}
+    assert got == {(1, 5): 0.75, (1, 6): 0.425, (2, 7): 0.25}
+
+
+def test_a_catalog_is_searched_within_one_model(spark):
+    rows = [(1, "table", "a", [1.0, 0.0]), (2, "column", "a", [0.9, 0.1]), (3, "table", "b", [1.0, 0.0]), (4, "table", "a", [0.0, 1.0])]
+    entries = spark.createDataFrame(rows, "vec_id int, kind string, model string, embedding array<double>")
+    asked = entries.where("vec_id in (1, 3)")
+    assert sorted((r.query_id, r.vec_id) for r in rt.catalog_search(entries, asked, "a", 2, ["table"]).collect()) == [(1, 1), (1, 4)]
+    assert {r.vec_id for r in rt.catalog_search(entries, asked, "b", 5).collect()} == {3}
