@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -131,7 +132,7 @@ class KeyedTable:
         rows = self._newest(base.unionByName(new))
         if horizon is not None:
             rows = rows.where(~((F.col("op") == "d") & (F.coalesce(F.col(self.order[0]), F.lit(horizon - 1)) < horizon)))
-        name = f"base/version={version + 1}-{id(self):x}-{through}"
+        name = f"base/version={version + 1}-{uuid.uuid4().hex[:12]}"
         rows.withColumn("bucket", self._bucket()).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{name}")
         written = [int(n.split("=")[1]) for n in Folder(self.spark, f"{self.path}/{name}").names() if n.startswith("bucket=")]
         now = {b: p for b, p in value.get("base", {}).items() if int(b) not in touched} | {str(b): f"{name}/bucket={b}" for b in written}
