@@ -19,7 +19,8 @@ the places, the ends of the runs tell all their blocks' stretches at once.  Kept
 its number and some hashes: about 40 bytes, whatever the levels.
 
 Null texts have no words and no runs; rows are independent of one another, so
-repeated rows and ids get equal results.  Very long texts go in pieces of
+repeated rows and ids get equal results.  The query takes a null id for an empty one where
+it looks which texts to loop.  Very long texts go in pieces of
 ``PIECE`` words.  Empty tables give empty results.  Columns called ``runs`` and
 ``collapsed`` are replaced, all others pass through.
 """
