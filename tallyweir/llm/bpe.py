@@ -34,12 +34,11 @@ import hashlib
 import sys
 from array import array
 from collections.abc import Iterable, Iterator
-from itertools import chain, islice
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import regex
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,13 +46,11 @@ from tallyweir.llm.common import table
 
 #: Most bytes of a rank file: it is read by the driver and broadcast.
 MOST_FILE_BYTES = 64 << 20
-MOST_ARROWS = 100_000
-#: Matches whose ids a worker remembers (some 25 bytes each), those of them that are not packed yet, and the longest.
-MOST_MATCHES, MOST_LATEST, LONGEST_MATCH = 3_000_000, 100_000, 64
+MOST_ARROWS = 240_000
+#: Matches whose ids a worker remembers, and the longest of them.
+MOST_MATCHES, LONGEST_MATCH = 450_000, 64
 #: Texts of more characters are split some matches at a time.
 LONG_TEXT, MATCHES = 1_000_000, 20_000
-#: Matches of several texts that are looked up together.
-HELD = 200_000
 _NEVER = 1 << 60
 
 
@@ -218,92 +215,20 @@ class Transducer:
         return out
 
 
-    def encode_sorted(self, matches: Iterable[bytes]) -> Iterator[list[int]]:
-        """Tokens of matches in byte order: each goes on from where it parts from the one before."""
-        before, out = b"", []
-        stack: list[tuple[int, tuple | None, int]] = [(self._start(), None, 0)]  # after each byte: state, or paths where there is no arrow, and tokens written
-        get = self.arrows.get
-        for match in matches:
-            same, most = 0, min(len(before), len(match))
-            while same < most and before[same] == match[same]:
-                same += 1
-            del stack[same + 1 :]
-            state, paths, n = stack[-1]
-            del out[n:]
-            for byte in match[same:]:
-                arrow = None if paths is not None else get(state << 8 | byte) or self._arrow(state, byte)
-                if arrow is None:
-                    paths, written = self._step(self.states[state] if paths is None else paths, byte)
-                else:
-                    state, written = arrow
-                out += written
-                stack.append((state, paths, len(out)))
-            before = match
-            yield [*out, *(self.last[state] if paths is None else self._end(paths))]
-
-
-class _Matches:
-    """Ids of the matches met so far, as little-endian 32-bit numbers: the latest in a dictionary, the others packed in arrays by hash.
-
-    What the arrays give is compared with the match byte by byte, so that a hash that falls together costs time and no more.
-    """
+class _Matches(dict):
+    """Ids of matches as little-endian 32-bit numbers; of those met lately, the last ``MOST_MATCHES`` and as many before them."""
 
     def __init__(self, transducer: Transducer):
-        self.transducer, self.latest = transducer, {}
-        self._forget()
-
-    def _forget(self) -> None:
-        self.hashes, self.starts, self.sizes, self.packed = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint8), np.zeros(0, "<u4")
+        self.transducer, self.before = transducer, {}
 
-    def _keep(self, match: str, value: bytes) -> None:
+    def __missing__(self, match: str) -> bytes:
+        value = self.before.get(match) or _little(self.transducer.encode(match.encode("utf-8", "replace")))
         if len(match) <= LONGEST_MATCH:
-            self.latest[match] = value
-            if len(self.latest) >= MOST_LATEST:
-                self._pack()
-
-    def _pack(self) -> None:
-        if len(self.hashes) + len(self.latest) > MOST_MATCHES:
-            self._forget()
-        values = list(self.latest.values())
-        hashes = np.concatenate((self.hashes, _hashed([m.encode() for m in self.latest])))
-        sizes = np.concatenate((self.sizes, np.fromiter((len(v) // 4 for v in values), np.uint8, len(values))))
-        packed = np.concatenate((self.packed, np.frombuffer(b"".join(values), "<u4")))
-        added = sizes[len(self.hashes) :].astype(np.int64)
-        starts = np.concatenate((self.starts, len(self.packed) + np.cumsum(added) - added))
-        order = np.argsort(hashes, kind="stable")
-        self.hashes, self.starts, self.sizes, self.packed = hashes[order], starts[order], sizes[order], packed
-        self.latest = {}
-
-    def all(self, matches: list[str]) -> list[bytes]:
-        """Ids of each of the matches; new ones are encoded in order, as neighbours share most of their states."""
-        found = list(map(self.latest.get, matches))
-        lacking = [k for k, v in enumerate(found) if v is None]
-        data = [matches[k].encode("utf-8", "replace") for k in lacking]
-        new = range(len(lacking))
-        if lacking and len(self.hashes):
-            h = _hashed(data)
-            at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-            hit = self.hashes[at] == h
-            hits, new = hit.nonzero()[0].tolist(), (~hit).nonzero()[0].tolist()
-            starts, sizes = self.starts[at[hit]], self.sizes[at[hit]].astype(np.int64)
-            ends = np.cumsum(sizes)
-            ids = self.packed[np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if hits else 0)]
-            raw, cuts, tokens = ids.tobytes(), [0, *(4 * ends).tolist()], self.transducer.vocabulary.bytes
-            written = [tokens[i] for i in ids.tolist()]
-            for n, j in enumerate(hits):
-                if b"".join(written[cuts[n] >> 2 : cuts[n + 1] >> 2]) == data[j]:
-                    found[lacking[j]] = raw[cuts[n] : cuts[n + 1]]
-                else:
-                    new.append(j)
-        new = sorted(new, key=data.__getitem__)
-        for j, ids in zip(new, self.transducer.encode_sorted(data[j] for j in new), strict=True):
-            found[lacking[j]] = value = _little(ids)
-            self._keep(matches[lacking[j]], value)
-        return found
-
-
-def _hashed(data: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, data), np.uint64, len(data))
+            if len(self) >= MOST_MATCHES:
+                self.before = dict(self)
+                self.clear()
+            self[match] = value
+        return value
 
 
 def _little(numbers: list[int]) -> bytes:
@@ -319,44 +244,13 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary, pattern: str):
         self.pattern, self.matches = regex.compile(pattern), _Matches(Transducer(vocabulary))
 
-    def encode_all(self, texts: Iterable[str]) -> Iterator[bytes]:
-        """Ids of each text; equal matches of many texts are looked up once, new ones in order, as neighbours share most of their states."""
-        held, n = [], 0
-        for text in texts:
-            if len(text) > LONG_TEXT:
-                yield from self._encode_held(held)
-                yield self.encode(text)
-                held, n = [], 0
-                continue
-            held.append(self.pattern.findall(text))
-            n += len(held[-1])
-            if n >= HELD:
-                yield from self._encode_held(held)
-                held, n = [], 0
-        yield from self._encode_held(held)
-
-    def _encode_held(self, held: list[list[str]]) -> Iterator[bytes]:
-        if not held:
-            return
-        coded = pa.array(list(chain.from_iterable(held)), pa.string()).dictionary_encode()
-        words, which = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        values = self.matches.all(words)
-        sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
-        starts, packed = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(values), "<u4")
-        n = sizes[which]
-        ends = np.cumsum(n)
-        ids = packed[np.repeat(starts[which] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
-        cuts = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum([len(x) for x in held])))]
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            yield ids[a:b].tobytes()
-
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
         if len(text) <= LONG_TEXT:
-            return next(self._encode_held([self.pattern.findall(text)]))
+            return b"".join(map(self.matches.__getitem__, self.pattern.findall(text)))
         found, out = (m.group() for m in self.pattern.finditer(text)), []
-        while part := list(islice(found, MATCHES)):
-            out.append(next(self._encode_held([part])))
+        while part := b"".join(map(self.matches.__getitem__, islice(found, MATCHES))):
+            out.append(part)
         return b"".join(out)
 
 
@@ -475,8 +369,7 @@ class Tokenizer:
 
         def encode(texts: pa.Array) -> pa.Array:
             encoder = _machine(Encoder, vocabulary.value, pattern)
-            found = encoder.encode_all(t.as_py().decode("utf-8", "replace") if t.is_valid else "" for t in texts)
-            return pa.array((ids if t.is_valid else None for t, ids in zip(texts, found, strict=True)), pa.binary())
+            return pa.array((None if not t.is_valid else encoder.encode(t.as_py().decode("utf-8", "replace")) for t in texts), pa.binary())
 
         return F.arrow_udf(encode, "binary")(text.cast("binary"))
 

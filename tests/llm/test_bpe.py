@@ -53,27 +53,6 @@ def test_ids_are_those_of_the_library(ranks, vocabulary, library):
         assert encoder.encode(text) == pack(library.encode_ordinary(text)), text
 
 
-def test_many_texts_together(ranks, vocabulary, library, monkeypatch):
-    monkeypatch.setattr(bpe, "LONG_TEXT", 400)
-    texts = [*TEXTS, *random_texts(random.Random(7), ranks, 500)]
-    for held in (1, 50, 10**6):
-        monkeypatch.setattr(bpe, "HELD", held)
-        assert list(bpe.Encoder(vocabulary, public_tokenizers.PATTERN).encode_all(texts)) == [pack(library.encode_ordinary(t)) for t in texts]
-    assert list(bpe.Encoder(vocabulary, public_tokenizers.PATTERN).encode_all([])) == []
-
-
-def test_packed_matches_and_hashes_that_fall_together(ranks, vocabulary, library, monkeypatch):
-    texts = [*TEXTS, *random_texts(random.Random(9), ranks, 400)] * 2
-    expected = [pack(library.encode_ordinary(t)) for t in texts]
-    monkeypatch.setattr(bpe, "HELD", 300)
-    for latest, most, same in ((5, 10**6, False), (50, 200, False), (50, 10**6, True)):
-        monkeypatch.setattr(bpe, "MOST_LATEST", latest)
-        monkeypatch.setattr(bpe, "MOST_MATCHES", most)
-        if same:
-            monkeypatch.setattr(bpe, "_hashed", lambda data: bpe.np.array([len(d) % 3 for d in data], bpe.np.uint64))
-        assert list(bpe.Encoder(vocabulary, public_tokenizers.PATTERN).encode_all(texts)) == expected
-
-
 def test_few_arrows_and_any_chunks_give_the_same(ranks, vocabulary, library):
     rng, small = random.Random(2), bpe.Transducer(vocabulary, most_arrows=40)
     for text in random_texts(rng, ranks, 400):
