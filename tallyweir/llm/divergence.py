@@ -1,13 +1,13 @@
 """Quality rules: counts of a text, and its divergence from its language.
 
 For every language the corpus holds, two reference histograms are taken over all
-documents that pass the base rule: characters by class, and common words (a share of ``COMMON`` or more)
+documents: characters by class, and common words (a share of ``COMMON`` or more)
 with all others as one bin.  Tasks report the count of every word, and only the
 sums over all documents are compared with ``COMMON``, so that references depend
 neither on the order of the rows nor on their partitions.  A document is compared with the references of its
 ``lang``, or with the nearest of all references where ``lang`` is null or has none
-(a language has one from ``LANGUAGE_WORDS`` words on, whatever the size of the corpus; should a dirty column
-name more than ``MOST_LANGUAGES``, which is more than are written, those with the most words have one), by the Jensen-Shannon distance (base 2, 0 to 1).  Short texts stray from any
+(every language with a word has one, whatever its share of the corpus; should a dirty column
+name more than ``MOST_LANGUAGES``, which is about as many as are written, those with the most words have one), by the Jensen-Shannon distance (base 2, 0 to 1).  Short texts stray from any
 reference by chance, hence each distance is only used from a least length on and
 its limit is widened by a term that falls with the square root of the length.
 
@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from tallyweir.llm.common import table, written
 
 CLASSES = ("lower", "upper", "letter beyond ASCII", "digit", "white space", "punctuation", "symbol", "other")
-COMMON, LANGUAGE_WORDS, MOST_LANGUAGES = 0.002, 5_000, 4_096
+COMMON, MOST_LANGUAGES = 0.002, 4_096
 #: Least lengths, limits, and the widening for a text of one character or word.
 LEAST_CHARS, CHAR_LIMIT, CHAR_WIDEN = 100, 0.2, 1.0
 LEAST_WORDS, WORD_LIMIT, WORD_WIDEN = 40, 0.3, 1.0
@@ -118,10 +118,7 @@ def _reference_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             text, lang = text.as_py(), lang.as_py()
             if not text or lang is None:
                 continue
-            got = text.encode("utf-8", "surrogatepass").split()
-            if base_fails(len(got), repeated_words(got)):
-                continue
-            got = [w.lower() for w in got]
+            got = text.encode("utf-8", "surrogatepass").lower().split()
             words.setdefault(lang, Counter()).update(got)
             classes[lang] = classes.get(lang, 0) + class_counts(_codes(text))
             n += len(got)
@@ -137,7 +134,7 @@ def language_references(docs: DataFrame, lang: str = "lang", text: str = "text")
     parts = rows.mapInArrow(_reference_parts, "lang string, kind string, key string, n long")
     sums = written(parts.groupBy("lang", "kind", "key").agg(F.sum("n").alias("n")), "word-counts")  # read twice
     total = sums.where("kind = 'n'").select("lang", F.col("n").alias("total"))
-    total = total.where(F.col("total") >= LANGUAGE_WORDS).orderBy(F.desc("total"), "lang").limit(MOST_LANGUAGES)
+    total = total.where("total > 0").orderBy(F.desc("total"), "lang").limit(MOST_LANGUAGES)
     # at most 1 / COMMON words and len(CLASSES) + 1 other rows of each language
     sums = sums.join(total, "lang").where((F.col("kind") != "w") | (F.col("n") >= F.col("total") * COMMON))
     found: dict[str, dict] = {}
