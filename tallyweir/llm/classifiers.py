@@ -44,6 +44,9 @@ BUCKET_BITS, FACTORS, LEAST_DOCUMENTS = 22, 4, 3
 #: Rates of the vectors and how strongly chance holds them back, to be chosen from by ``FOLDS`` folds.
 STRENGTHS, FOLDS = ({"rate_v": 0.024, "chance_v": 3.0}, {"rate_v": 0.03, "chance_v": 6.0}), 3
 
+#: Tokens whose hashes a worker remembers, for each of two uses; about 50 MB.
+REMEMBERED = 250_000
+
 _LETTERS = re.compile(r"[^\W\d_]+")
 _TOKENS = re.compile(r"[^\W_]+|[^\w\s]+|_+")
 
@@ -68,7 +71,7 @@ class _Hashes(dict):
         self.of = of
 
     def __missing__(self, token: str) -> int:
-        if len(self) > 1_000_000:
+        if len(self) >= REMEMBERED:
             self.clear()
         value = self[token] = xxhash.xxh3_64_intdigest(self.of(token))
         return value
@@ -76,6 +79,14 @@ class _Hashes(dict):
 
 _LOWER = _Hashes(str.lower)
 _MARKED = _Hashes(lambda t: "\x01caps" if len(t) > 1 and t.isupper() else t.lower())
+
+
+def forget() -> None:
+    """Frees the remembered hashes: Python workers outlive their tasks and serve other stages."""
+    _LOWER.clear()
+    _MARKED.clear()
+
+
 _SAME, _LINE = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in ("\x01same", "\x01line"))
 
 
@@ -100,7 +111,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, learn: Column,
 
     @F.pandas_udf("array<int>")
     def features(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: buckets(t if isinstance(t, str) else None), na_action=None)
+        try:
+            return s.map(lambda t: buckets(t if isinstance(t, str) else None), na_action=None)
+        finally:
+            forget()
 
     rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(known), "_id")  # max_rows at most
     rows = rows.select("_id", "_y", features("_text").alias("_x")).groupBy("_id").agg(F.min("_y").alias("_y"), F.min("_x").alias("_x"))
@@ -294,8 +308,11 @@ def score_column(model: FactorizationMachine | NaiveBayesSVM, text: Column, spar
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         one = shared.value.scorer()
-        for s in batches:
-            yield pd.Series([one(t if isinstance(t, str) else None) for t in s], dtype=float)
+        try:
+            for s in batches:
+                yield pd.Series([one(t if isinstance(t, str) else None) for t in s], dtype=float)
+        finally:
+            forget()
 
     return score(text)
 
