@@ -267,6 +267,19 @@ def connected(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def relabelled(labels: DataFrame, found: DataFrame) -> DataFrame:
+    """``labels`` (_id, _label) after the links ``found`` (_x, _y): only the components that these join are labelled anew."""
+    of_x, of_y = (labels.select(F.col("_id").alias(c), F.col("_label").alias(f"{c}l")) for c in ("_x", "_y"))
+    ends = found.join(of_x, "_x", "left").join(of_y, "_y", "left")
+    ends = ends.select("_x", "_y", F.coalesce("_xl", "_x").alias("_p"), F.coalesce("_yl", "_y").alias("_q"))
+    ends = written(ends, "ends")
+    between = ends.where("_p <> _q").select(F.least("_p", "_q").alias("_x"), F.greatest("_p", "_q").alias("_y")).distinct()
+    new = connected(between).select(F.col("_id").alias("_label"), F.col("_label").alias("_new"))
+    # documents without a link before are components of their own
+    known = labels.unionByName(ends.select(F.explode(F.array(F.struct(F.col("_x").alias("_id"), F.col("_p").alias("_label")), F.struct(F.col("_y").alias("_id"), F.col("_q").alias("_label")))).alias("_e")).select("_e.*")).distinct()
+    return written(known.join(new, "_label", "left").select("_id", F.coalesce("_new", "_label").alias("_label")), "labels")
+
+
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(``doc_id``, n_shingles, component_id): one row for each row of ``docs``."""
     spark = docs.sparkSession
@@ -321,8 +334,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         found = _linked(outside, rows, shingle, percent)
         if not found.limit(1).count():
             break
-        links = links.unionByName(found)
-        labels = connected(links)
+        labels = relabelled(labels, found)
 
     # what is still in different components: those outside a list's largest component against all
     listed, mixed = _mixed_lists(shared, labels, 0)
@@ -349,16 +361,15 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     # of two components the nearest pair is probed first; where it links, their other pairs need no sets
     nearest = pairs.groupBy("_p", "_q").agg(F.min(F.struct("_apart", "_x", "_y")).alias("_best")).select("_best._x", "_best._y")
     found = _linked(nearest, rows, shingle, percent)
-    links = links.unionByName(found)
     if found.limit(1).count():
-        labels = connected(links)
+        labels = relabelled(labels, found)
     merged = labels.select(F.col("_id").alias("_p"), F.col("_label").alias("_pl")), labels.select(F.col("_id").alias("_q"), F.col("_label").alias("_ql"))
     left = pairs.join(merged[0], "_p", "left").join(merged[1], "_q", "left").where(F.coalesce("_pl", "_p") != F.coalesce("_ql", "_q"))
     left = written(left.select("_x", "_y").distinct().join(nearest, ["_x", "_y"], "left_anti"), "cross-pairs")
     if left.limit(1).count():
         more = _linked(left, rows, shingle, percent)
         if more.limit(1).count():
-            labels = connected(links.unionByName(more))
+            labels = relabelled(labels, more)
     # classes of equal sets carry the label of the document that stands for them
     of_rep = members.join(labels.select(F.col("_id").alias("_rep"), F.col("_label")), "_rep", "left").select("_id", F.coalesce("_label", "_rep").alias("_label"))
     several = of_rep.groupBy("_id").agg(F.min("_label").alias("_label"))
