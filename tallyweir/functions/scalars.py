@@ -33,6 +33,13 @@ def parse_text_ts(raw: Column) -> Column:
     return F.try_to_timestamp(raw, F.lit("yyyy-MM-dd HH:mm:ss"))
 
 
+def ts_text(ts: Column) -> Column:
+    """A timestamp as SQL writes it: no sign before years of five digits, ``(BC)`` after days before year 1, where Spark counts from 0 down."""
+    text, year = ts.cast("string"), F.year(ts)
+    before = F.concat(F.format_string("%04d", 1 - year), F.regexp_replace(text, r"^-?\d+(-\d\d-\d\d)", "$1 (BC)"))
+    return F.when(year < 1, before).otherwise(F.ltrim(text, F.lit("+")))
+
+
 def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 

@@ -73,7 +73,7 @@ def _(s, d):
 def _(s, d):
     day = F.date_from_unix_date((F.col("o_custkey") % 20000).cast("int"))
     ts = F.timestamp_millis(F.col("o_orderkey").cast("long") * 86399000)
-    return table(s, d, "orders").select("o_orderkey", day.cast("string").alias("day"), ts.cast("string").alias("ts"))
+    return table(s, d, "orders").select("o_orderkey", day.cast("string").alias("day"), sc.ts_text(ts).alias("ts"))
 
 
 @_query("p13_stage_case", f"{_I} SELECT CASE WHEN max_stage >= 'f' THEN 'deep' WHEN max_stage >= 'd' THEN 'middle' ELSE 'shallow' END AS depth, count(*) AS impressions FROM agg GROUP BY ALL")
